@@ -6,8 +6,7 @@ one, chosen by a walk that is the same in every document, so small sets agree re
 equal to their Jaccard similarity. BANDS bands of four registers find candidates: at a similarity of 0.75 a pair shares
 no band with a probability under 1e-5.
 
-Links are settled in two rounds.  Round 1 pairs each member of a band bucket with one leader of the bucket, another
-one in each band.  Round 2 looks at the buckets in which several components are left and compares the sketches of all
+Links are settled in two rounds. Round 1 pairs each member of a band bucket with two leaders of the bucket. Round 2 looks at the buckets in which several components are left and compares the sketches of all
 members of different components there, block by block; only similar sketches become pairs.  Before verification the
 estimate, corrected for registers that agree by chance, drops hopeless pairs; what is left is confirmed on the full
 shingle sets. Exact copies of a shingle set are one class from the start and are never expanded into pairs.
@@ -25,10 +24,12 @@ from pyspark.sql import functions as F
 from weftlink.llm import common
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
-#: Estimates this far under the threshold, five standard errors, aren't verified.
-MARGIN = 0.2
+#: Estimates this far under the threshold, four standard errors, aren't verified.
+MARGIN = 0.15
 #: Members of a leader that are verified together; a leader with more is dealt out by salt.
 PER_TASK = 500
+#: Members of a bucket that round 2 compares as one block.
+BLOCK = 2000
 
 
 def sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,11 +106,19 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _leader_pairs(banded: DataFrame) -> DataFrame:
-    """Each member with its bucket's leader: the member that is least in an order of the band's own."""
-    rank = F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("leader"))
-    lead = banded.groupBy("key").agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.leader").alias("leader"))
-    return banded.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
+def _shared(banded: DataFrame) -> DataFrame:
+    """The band rows of buckets with more than one member, with the bucket's size n."""
+    return banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _leader_pairs(shared: DataFrame) -> DataFrame:
+    """Each member with two leaders of its bucket: the one whose buckets are largest in all, as an original among its
+    edited copies is, and one that is least in an order of the band's own."""
+    weight = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    central = F.max(F.struct("weight", (-F.col("doc_id")).alias("m"))).alias("central")
+    other = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("m"))).alias("other")
+    lead = shared.join(weight, "doc_id").groupBy("key").agg(central, other).select("key", F.explode(F.array(-F.col("central.m"), F.col("other.m"))).alias("leader"))
+    return shared.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
 
 
 def _likely(threshold: float):
@@ -190,19 +199,19 @@ def components(links: DataFrame, store: common.Scratch, name: str) -> DataFrame:
 
 
 def _cross(threshold: float):
-    """All pairs of members of different components of a bucket whose sketches are similar, compared in blocks."""
+    """The pairs of two blocks of a bucket whose members are of different components and have similar sketches."""
 
     def run(key, t):
-        ids, comp, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        ids, comp, n, block = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
         regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        order = np.argsort(comp, kind="stable")
-        ids, comp, n, regs = ids[order], comp[order], n[order], regs[order]
-        a, b, last = [], [], np.searchsorted(comp, comp, "right")
-        for i in range(len(ids)):
-            for lo in range(last[i], len(ids), 4096):
-                hi = min(lo + 4096, len(ids))
-                est = estimate(regs[lo:hi], regs[i], n[lo:hi], np.full(hi - lo, n[i]))
-                got = lo + np.flatnonzero(est >= threshold - MARGIN)
+        a, b = [], []
+        right = np.flatnonzero(block == hi)
+        for i in np.flatnonzero(block == lo):
+            near = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+            if len(near):
+                est = estimate(regs[near], regs[i], n[near], np.full(len(near), n[i]))
+                got = near[est >= threshold - MARGIN]
                 a += [ids[i]] * len(got)
                 b += ids[got].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -211,6 +220,15 @@ def _cross(threshold: float):
     return run
 
 
+def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """All cross-component pairs of each bucket, members(key, doc_id, component, n_shingles, sketch, n) compared block
+    against block: a bucket of n members is dealt into blocks of about BLOCK, and a task holds two of them at most."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    met = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    each = met.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "doc_id", "component", "n_shingles", "sketch")
+    return each.groupBy("key", "lo", "hi").applyInArrow(_cross(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate components of docs(doc_id, text, ...), linked at 100 * intersection >= percent * union.
 
@@ -226,16 +244,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     full = sig.where("n_shingles > 0 and doc_id is not null")
     by = ["n_shingles", "set_a", "set_b"]
     classes = store.keep(full.groupBy(*by).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
-    banded = bands(classes)
-    tried = store.keep(_leader_pairs(banded), "tried")
+    shared = store.keep(_shared(bands(classes)), "shared")
+    tried = store.keep(_leader_pairs(shared), "tried")
     reps = docs.select("doc_id", "text")
     links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
     label = components(links, store, "first")
     named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    spread = banded.join(named, "doc_id")
+    spread = shared.join(named, "doc_id")
     split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = spread.join(split, "key").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id").select("key", "doc_id", "component", "n_shingles", "sketch")
-    more = members.groupBy("key").applyInArrow(_cross(threshold), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    members = spread.join(split, "key").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    more = _cross_pairs(members, threshold).join(tried, ["a", "b"], "left_anti")
     more = store.keep(confirm(_screen(more, classes, threshold), reps, percent), "more")
     links = links.union(more).distinct()
     if more.limit(1).count():
