@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftlink.llm import neardup
+from weftlink.llm import mixing, neardup, packing, surrogates, toxicity
 from weftlink.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers, in the folder of their package."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path(name))
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data: doc_id, text, n_entities, entities."""
+    return surrogates.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_entities", F.size("entities").cast("long"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", "draws")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_surrogates": op4_surrogates,
     "op6_hyperminhash": op6_hyperminhash,
+    "op7_hypergeometric_mix": op7_hypergeometric_mix,
+    "op8_packing": op8_packing,
+    "op9_toxic_spans": op9_toxic_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
