@@ -28,7 +28,9 @@ REGISTERS, MANTISSA, BANDS = 128, 10, 32
 MARGIN = 0.15
 #: Members of a leader that are verified together; a leader with more is dealt out by salt.
 PER_TASK = 500
-#: Members of a bucket that round 2 compares as one block.
+#: Members of a bucket's largest component that its other members meet in round 2.
+SLOTS = 16
+#: Members of a bucket that round 3 compares as one block.
 BLOCK = 2000
 
 
@@ -121,6 +123,16 @@ def _leader_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
 
 
+def _slot_pairs(members: DataFrame) -> DataFrame:
+    """Members outside their bucket's largest component with up to SLOTS members of that component."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("main"))
+    marked = members.join(main, "key")
+    slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOTS))
+    lead = marked.where("component = main").groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("leader"))).alias("s")).select("key", "s.leader")
+    return marked.where("component <> main").join(lead, "key").select(*_pair("doc_id", "leader")).distinct()
+
+
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -249,14 +261,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = docs.select("doc_id", "text")
     links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
     label = components(links, store, "first")
-    named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    spread = shared.join(named, "doc_id")
-    split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = spread.join(split, "key").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    more = _cross_pairs(members, threshold).join(tried, ["a", "b"], "left_anti")
-    more = store.keep(confirm(_screen(more, classes, threshold), reps, percent), "more")
-    links = links.union(more).distinct()
-    if more.limit(1).count():
+
+    def left(label: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets in which there are several components, and what the sketches need."""
+        named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "sketch")
+        spread = shared.join(named.drop("n_shingles", "sketch"), "doc_id")
+        split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return store.keep(spread.join(split, "key"), name), named.select("doc_id", "n_shingles", "sketch")
+
+    members, facts = left(label, "left-1")
+    more = store.keep(_slot_pairs(members).join(tried, ["a", "b"], "left_anti"), "tried-2")
+    links = store.keep(links.union(confirm(_screen(more, classes, threshold), reps, percent)), "links-2")
+    label = components(links, store, "second")
+    members, facts = left(label, "left-2")
+    rest = _cross_pairs(members.join(facts, "doc_id"), threshold).join(tried.union(more), ["a", "b"], "left_anti")
+    rest = store.keep(confirm(_screen(rest, classes, threshold), reps, percent), "links-3")
+    links = links.union(rest).distinct()
+    if rest.limit(1).count():
         label = components(links, store, "last")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = classes.join(label, classes.doc_id == label.node, "left").drop("node").join(degree, classes.doc_id == degree.node, "left")
