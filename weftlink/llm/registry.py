@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import mixing, neardup, packing, surrogates, toxicity
+from weftlink.llm import language, maintext, mixing, neardup, packing, progressive, repetition, suffixdedup, surrogates, toxicity
 from weftlink.llm.common import table
 
 
@@ -19,11 +19,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is stored and read back; the files and tensors themselves stay in the operator's own outputs."""
+    return progressive.media(table(spark, sf_dir, "documents"), outputs=())
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in place of personal data: doc_id, text, n_entities, entities."""
     return surrogates.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_entities", F.size("entities").cast("long"))
 
 
+def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,12 +58,21 @@ def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
+    "op2_language_mixture": op2_language_mixture,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_surrogates": op4_surrogates,
+    "op5_suffix_repetition": op5_suffix_repetition,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_hypergeometric_mix": op7_hypergeometric_mix,
     "op8_packing": op8_packing,
     "op9_toxic_spans": op9_toxic_spans,
+    "op10_line_blocks": op10_line_blocks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
