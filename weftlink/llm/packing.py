@@ -1,7 +1,7 @@
 """Order-preserving packing: cuts of the token stream by dynamic programming over document and sentence ends.
 
 The documents of an input partition, in their order, are one stream of token ids. A sequence is a window of at most
-`width` tokens; its cost is its padding (none at a power of two), the cost of its cut (none at a document's end, little
+`width` tokens; its cost is its padding (none at a power of two: half the width counts), the cost of its cut (none at a document's end, little
 at a sentence's, more elsewhere) and a constant. best(j) = cut(j) + min over i of best(i) + padding(i, j), where the
 minimum over the window runs on a monotone queue of best(i) + i, so that each candidate is handled once. The stream is
 packed in stretches of some ten thousand windows, each starting where the one before it was cut, so memory is bounded
@@ -10,7 +10,9 @@ by a stretch and its longest document. No shuffle is needed, and a lost task giv
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,45 +25,51 @@ from pyspark.sql import functions as F
 WIDTH = 1024
 #: Costs in tokens of padding: a cut at a sentence's end, a cut elsewhere, a sequence.
 SENTENCE, INSIDE, SEQUENCE = 4.0, 16.0, 16.0
-#: Where no sentence ends, a cut may fall at each multiple of this many tokens.
-STRIDE = 64
+#: Inside a longer sentence a cut may fall after each so many tokens.
+STRIDE = 24
 STRETCH = 1 << 18
-CACHE = 300_000
 
 
-class Ids(dict):
-    """Token ids, as bytes, of a word with the space before it; filled as words come, emptied when it gets large.
+class Ids:
+    """Ids of texts under a byte-level BPE file.
 
-    Byte-level BPE never merges across the start of a word, so a text split at single spaces has the ids of its parts.
+    Where each merge of the file makes a later id than the one before it, ids are merge ranks; then the faster of the
+    two libraries gives the same ids. Texts that hold a special token's string go to the file's own library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.tokenizer, vocabulary = Tokenizer.from_file(path), model["vocab"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, k in vocabulary.items():
             self.ends[k] = token[-1] in ".!?" or token[-1] == "Ċ"  # Ċ stands for a line feed
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [vocabulary["".join(m)] for m in merges]
+        self.fast = None
+        byte = {c: bytes([b]) for b, c in _byte_letters().items()}
+        own = {token: k for token, k in vocabulary.items() if token not in self.special}
+        if made == sorted(set(made)) and set("".join(own)) <= set(byte):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            ranks = {b"".join(byte[c] for c in token): k for token, k in own.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[word] = self.whole(word)
-        return got
+    def of(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.fast(text)).tobytes() if array("I").itemsize == 4 else np.array(self.fast(text), "<u4").tobytes()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of(self, text: str) -> bytes:
-        if "  " in text or any(s in text for s in self.special):  # a run of spaces is cut by what follows it
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        parts = [self[first]] if first else []
-        parts += map(self.__getitem__, [" " + w for w in rest])
-        return b"".join(parts)
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 _known: dict[str, Ids] = {}
@@ -76,8 +84,12 @@ def ids_of(path: str) -> Ids:
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a cut may fall, ascending, with the cost of each; 0 and the stream's end are among them."""
     cost = np.full(len(ids) + 1, np.inf)
-    cost[::stride] = INSIDE
-    cost[1:][ends[ids]] = SENTENCE
+    at = np.append(np.flatnonzero(ends[ids]) + 1, len(ids))
+    gaps = np.diff(np.insert(at, 0, 0))
+    many = (gaps - 1) // stride
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
+    cost[np.repeat(at - gaps, many) + inner * stride] = INSIDE
+    cost[at[:-1]] = SENTENCE
     cost[doc_ends] = 0.0
     cost[0] = 0.0
     near = np.flatnonzero(np.isfinite(cost))
@@ -91,7 +103,7 @@ def cut(at: np.ndarray, cost: np.ndarray, width: int = WIDTH, final: bool = True
     best, back = [0.0] * n, [0] * n
     place = {pos[0]: 0}
     queue: deque[tuple[float, int]] = deque([(float(pos[0]), 0)])
-    half, quarter = width // 2, width // 4
+    half = width // 2
     for j in range(1, n):
         p = pos[j]
         low = p - width
@@ -99,10 +111,9 @@ def cut(at: np.ndarray, cost: np.ndarray, width: int = WIDTH, final: bool = True
             queue.popleft()
         least, i = queue[0]
         value = least + width - p
-        for w in (width, half, quarter):
-            k = place.get(p - w)
-            if k is not None and best[k] < value:
-                value, i = best[k], k
+        k = place.get(p - half)  # a power of two has no padding
+        if k is not None and best[k] < value:
+            value, i = best[k], k
         best[j] = value = value + pen[j] + SEQUENCE
         back[j] = i
         place[p] = j
