@@ -86,7 +86,7 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, stride:
     cost = np.full(len(ids) + 1, np.inf)
     at = np.append(np.flatnonzero(ends[ids]) + 1, len(ids))
     gaps = np.diff(np.insert(at, 0, 0))
-    many = (gaps - 1) // stride
+    many = np.maximum(gaps - 1, 0) // stride
     inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
     cost[np.repeat(at - gaps, many) + inner * stride] = INSIDE
     cost[at[:-1]] = SENTENCE
