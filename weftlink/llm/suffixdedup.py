@@ -32,7 +32,7 @@ from weftlink.llm import common
 
 LENGTH, Q = 50, 16
 #: Windows in a run at most; text bytes in a group and groups' most; documents from which an anchor is dealt by windows.
-RUN, GROUP_BYTES, MOST_BUCKETS, HOT = 64, 12 << 20, 4096, 20_000
+RUN, GROUP_BYTES, MOST_BUCKETS, HOT = 64, 8 << 20, 4096, 20_000
 SLICE = 1 << 18
 
 
@@ -360,7 +360,7 @@ def window_classes(text: np.ndarray, n: np.ndarray, doc: np.ndarray, length: int
     return out
 
 
-def _settle(length: int, most: int = 1 << 22):
+def _settle(length: int, most: int = 1 << 20):
     def run(key, t):
         groups, got = t.column("g").to_pylist(), [_unpack(raw, "<u8", "<u8", "<i8", "u1", "u1") for raw in t.column("payload").to_pylist()]
         k, h, d, n, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -401,7 +401,7 @@ def _settle(length: int, most: int = 1 << 22):
 def _remove(buckets: int, length: int):
     def run(key, left, right):
         group = Group(left, length)
-        covered = np.full(len(group.data) + 1, -length, np.int64)
+        covered = np.full(len(group.data) + 1, -length, np.int64 if len(group.data) >> 31 else np.int32)
         if len(group.start) and right.num_rows:
             e = _replies(group, right, buckets)
             got = {b: raw for b, kind, raw in zip(*(right.column(c).to_pylist() for c in ("rbucket", "rkind", "rpayload")), strict=True) if kind == 3}
@@ -418,7 +418,7 @@ def _remove(buckets: int, length: int):
             covered[gone] = gone
         del group.start, group.n, group.key
         np.maximum.accumulate(covered, out=covered)
-        off = covered[:-1] > np.arange(len(group.data)) - length
+        off = covered[:-1] > np.arange(-length, len(group.data) - length, dtype=covered.dtype)
         off &= covered[:-1] >= 0
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         for k, doc in enumerate(group.ids):
@@ -455,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GRO
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))
-    buckets = min(groups, MOST_BUCKETS)
+    buckets = min(4 * groups, MOST_BUCKETS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     dealt = texts.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(groups, "g")
     back = lambda df: df.select(F.col("g").alias("rg"), F.col("bucket").alias("rbucket"), F.col("kind").alias("rkind"), F.col("payload").alias("rpayload")).repartition(groups, "rg")
