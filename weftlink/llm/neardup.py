@@ -6,10 +6,12 @@ one, chosen by a walk that is the same in every document, so small sets agree re
 equal to their Jaccard similarity. BANDS bands of four registers find candidates: at a similarity of 0.75 a pair shares
 no band with a probability under 1e-5.
 
-Links are settled in two rounds. Round 1 pairs each member of a band bucket with two leaders of the bucket. Round 2 looks at the buckets in which several components are left and compares the sketches of all
-members of different components there, block by block; only similar sketches become pairs.  Before verification the
-estimate, corrected for registers that agree by chance, drops hopeless pairs; what is left is confirmed on the full
-shingle sets. Exact copies of a shingle set are one class from the start and are never expanded into pairs.
+Links are settled in two rounds. Round 1 pairs each member of a band bucket with two leaders of the bucket; before
+verification the estimate, corrected for registers that agree by chance, drops hopeless pairs, and what is left is
+confirmed on the full shingle sets. Round 2 takes the buckets in which several components are left and compares every
+member outside the largest one with all members, block against block: similar sketches of different components are
+confirmed on the full sets at once, and only the links that join components leave the task. Exact copies of a shingle
+set are one class from the start and are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ REGISTERS, MANTISSA, BANDS = 128, 10, 32
 MARGIN = 0.15
 #: Members of a leader that are verified together; a leader with more is dealt out by salt.
 PER_TASK = 500
-#: Members of a bucket's largest component that its other members meet in round 2.
-SLOTS = 16
-#: Members of a bucket that round 3 compares as one block.
-BLOCK = 2000
+#: Members of a bucket that round 2 compares as one block.
+BLOCK = 512
 
 
 def sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,16 +123,6 @@ def _leader_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
 
 
-def _slot_pairs(members: DataFrame) -> DataFrame:
-    """Members outside their bucket's largest component with up to SLOTS members of that component."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("main"))
-    marked = members.join(main, "key")
-    slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOTS))
-    lead = marked.where("component = main").groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("leader"))).alias("s")).select("key", "s.leader")
-    return marked.where("component <> main").join(lead, "key").select(*_pair("doc_id", "leader")).distinct()
-
-
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -210,42 +200,73 @@ def components(links: DataFrame, store: common.Scratch, name: str) -> DataFrame:
             return label.withColumnRenamed("c", "component")
 
 
-def _cross(threshold: float):
-    """The pairs of two blocks of a bucket whose members are of different components and have similar sketches."""
+def _sets(t: pa.Table) -> tuple[np.ndarray, ...]:
+    ids, comp = t.column(0).to_numpy(), t.column(1).to_numpy()
+    data, offsets = common.buffers(t.column(2))
+    values, ends = common.shingles(data, offsets)
+    return ids, comp, values, ends, sketch(values, ends)
+
+
+def _meet(percent: int):
+    """Links that join components, between the members of two blocks of a bucket: those outside the largest component
+    on the left, any on the right. Pairs that share an earlier band are left to that band's bucket."""
 
-    def run(key, t):
-        lo, hi = key[1].as_py(), key[2].as_py()
-        ids, comp, n, block = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
-        regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    def run(key, left, right):
         a, b = [], []
-        right = np.flatnonzero(block == hi)
-        for i in np.flatnonzero(block == lo):
-            near = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
-            if len(near):
-                est = estimate(regs[near], regs[i], n[near], np.full(len(near), n[i]))
-                got = near[est >= threshold - MARGIN]
-                a += [ids[i]] * len(got)
-                b += ids[got].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if left.num_rows and right.num_rows:
+            band = key[1].as_py()
+            ids, comp, values, ends, regs = _sets(left)
+            ids2, comp2, values2, ends2, regs2 = _sets(right)
+            n2 = np.diff(ends2)
+            width = REGISTERS // BANDS
+            early, early2 = (r[:, : width * band].reshape(len(r), band, width) for r in (regs, regs2))
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i in range(len(ids)):
+                n = ends[i + 1] - ends[i]
+                est = estimate(regs2, regs[i], n2, np.full(len(n2), n))
+                near = np.flatnonzero((est >= percent / 100 - MARGIN) & (comp2 != comp[i]) & (100 * np.minimum(n2, n) >= percent * np.maximum(n2, n)))
+                if band and len(near):
+                    near = near[~(early2[near] == early[i]).all(axis=2).any(axis=1)]
+                own = values[ends[i] : ends[i + 1]]
+                for j in near[np.argsort(-est[near], kind="stable")].tolist():
+                    x, y = find(int(comp[i])), find(int(comp2[j]))
+                    if x == y:
+                        continue
+                    other = values2[ends2[j] : ends2[j + 1]]
+                    shared = int((own[np.minimum(np.searchsorted(own, other), n - 1)] == other).sum())
+                    if 100 * shared >= percent * (n + len(other) - shared):
+                        root[max(x, y)] = min(x, y)
+                        a.append(min(int(ids[i]), int(ids2[j])))
+                        b.append(max(int(ids[i]), int(ids2[j])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """All cross-component pairs of each bucket, members(key, doc_id, component, n_shingles, sketch, n) compared block
-    against block: a bucket of n members is dealt into blocks of about BLOCK, and a task holds two of them at most."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    met = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    each = met.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "doc_id", "component", "n_shingles", "sketch")
-    return each.groupBy("key", "lo", "hi").applyInArrow(_cross(threshold), "a long, b long").distinct()
+def _joining_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Round 2 over members(key, band, doc_id, component, n). A task holds two blocks of about BLOCK members; members of
+    the largest component come once for each block of the others."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"), F.sum("c").alias("total"))
+    main = main.select("key", (-F.col("top.m")).alias("main"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).alias("rows"), F.ceil(F.col("total") / BLOCK).alias("columns"))
+    full = members.join(main, "key").join(texts, "doc_id").withColumns({"row": F.pmod(F.xxhash64("doc_id"), "rows"), "column": F.pmod(F.xxhash64("doc_id", F.lit(1)), "columns")})
+    left = full.where("component <> main").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)"))).select("doc_id", "component", "text", "key", "band", "row", "column")
+    right = full.withColumn("row", F.explode(F.expr("sequence(0, rows - 1)")))
+    right = right.select(F.col("doc_id").alias("rdoc"), F.col("component").alias("rcomponent"), F.col("text").alias("rtext"), F.col("key").alias("rkey"), F.col("band").alias("rband"), F.col("row").alias("rrow"), F.col("column").alias("rcolumn"))
+    return left.groupBy("key", "band", "row", "column").cogroup(right.groupBy("rkey", "rband", "rrow", "rcolumn")).applyInArrow(_meet(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate components of docs(doc_id, text, ...), linked at 100 * intersection >= percent * union.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id = component_id), n_links
-    (confirmed pairs of the document's class). Texts that are null or have no word have no shingle, link with nothing
+    (confirmed pairs of the document's class, one at least where it is linked). Texts that are null or have no word have no shingle, link with nothing
     and are kept. Rows that repeat a doc_id each get a row; rows with a null doc_id get a null component and are kept.
     Other columns are ignored. An empty table gives an empty result.
     """
@@ -262,22 +283,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
     label = components(links, store, "first")
 
-    def left(label: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Members of the buckets in which there are several components, and what the sketches need."""
-        named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "sketch")
-        spread = shared.join(named.drop("n_shingles", "sketch"), "doc_id")
-        split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return store.keep(spread.join(split, "key"), name), named.select("doc_id", "n_shingles", "sketch")
-
-    members, facts = left(label, "left-1")
-    more = store.keep(_slot_pairs(members).join(tried, ["a", "b"], "left_anti"), "tried-2")
-    links = store.keep(links.union(confirm(_screen(more, classes, threshold), reps, percent)), "links-2")
-    label = components(links, store, "second")
-    members, facts = left(label, "left-2")
-    rest = _cross_pairs(members.join(facts, "doc_id"), threshold).join(tried.union(more), ["a", "b"], "left_anti")
-    rest = store.keep(confirm(_screen(rest, classes, threshold), reps, percent), "links-3")
-    links = links.union(rest).distinct()
-    if rest.limit(1).count():
+    named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    spread = shared.join(named, "doc_id")
+    split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = store.keep(spread.join(split, "key"), "members")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    more = store.keep(_joining_links(members, texts, percent), "more")
+    links = links.union(more).distinct()
+    if more.limit(1).count():
         label = components(links, store, "last")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = classes.join(label, classes.doc_id == label.node, "left").drop("node").join(degree, classes.doc_id == degree.node, "left")
