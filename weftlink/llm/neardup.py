@@ -30,6 +30,8 @@ REGISTERS, MANTISSA, BANDS = 128, 10, 32
 MARGIN = 0.15
 #: Members of a leader that are verified together; a leader with more is dealt out by salt.
 PER_TASK = 500
+#: Buckets of so many members are settled by round 1, where their only pair meets.
+SETTLED = 2
 #: Members of a bucket that round 2 compares as one block.
 BLOCK = 512
 
@@ -66,13 +68,19 @@ def sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from pairs of sketches, less the agreement expected of unrelated registers."""
+LEVELS = np.arange(1, 41, dtype=np.float64)
+
+
+def mass(n: np.ndarray) -> np.ndarray:
+    """For sets of n shingles, the chance of each number of leading zeros in a register."""
+    per = np.maximum(np.asarray(n, np.float64) / REGISTERS, 1.0)[..., None]
+    return (1 - 2.0**-LEVELS) ** per - (1 - 2.0 ** -(LEVELS - 1)) ** per
+
+
+def estimate(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from sketches x and y of sets with masses mx and my, less the agreement expected by chance."""
     agree = (x == y).mean(axis=-1)
-    i = np.arange(1, 41, dtype=np.float64)
-    per = lambda n: np.maximum(np.asarray(n, np.float64) / REGISTERS, 1.0)[..., None]
-    mass = lambda n: (1 - 2.0**-i) ** per(n) - (1 - 2.0 ** -(i - 1)) ** per(n)
-    chance = (mass(nx) * mass(ny)).sum(axis=-1) * 2.0**-MANTISSA
+    chance = (mx * my).sum(axis=-1) * 2.0**-MANTISSA
     return np.clip((agree - chance) / (1 - chance), 0, 1)
 
 
@@ -129,7 +137,7 @@ def _likely(threshold: float):
             if not t.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            est = estimate(x, y, t.column("na").to_numpy(), t.column("nb").to_numpy())
+            est = estimate(x, y, mass(t.column("na").to_numpy()), mass(t.column("nb").to_numpy()))
             yield t.filter(pa.array(est >= threshold - MARGIN)).select(["a", "b"])
 
     return run
@@ -169,7 +177,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     A leader's text goes once to each group of at most about PER_TASK of its partners.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select("doc_id", "text")
     sized = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / PER_TASK))
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     right = salted.join(texts, salted.b == texts.doc_id).select(F.col("a").alias("ra"), F.col("salt").alias("rsalt"), "b", F.col("text").alias("rtext"))
@@ -200,26 +208,58 @@ def components(links: DataFrame, store: common.Scratch, name: str) -> DataFrame:
             return label.withColumnRenamed("c", "component")
 
 
+def _near(percent: int, band: int, left: tuple, right: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member on the left, the members on the right of another component that may be similar enough, the most
+    similar first; not those that it meets in an earlier band. A side: components, set sizes, sketches."""
+    comp, n, regs = left
+    comp2, n2, regs2 = right
+    width = REGISTERS // BANDS
+    early, early2 = (r[:, : width * band].reshape(len(r), band, width) for r in (regs, regs2))
+    m, m2 = mass(n), mass(n2)
+    for i in range(len(comp)):
+        near = np.flatnonzero((comp2 != comp[i]) & (100 * np.minimum(n2, n[i]) >= percent * np.maximum(n2, n[i])))
+        if band and len(near):
+            near = near[~(early2[near] == early[i]).all(axis=2).any(axis=1)]
+        if len(near):
+            est = estimate(regs2[near], regs[i], m2[near], m[i])
+            on = est >= percent / 100 - MARGIN
+            near = near[on][np.argsort(-est[on], kind="stable")]
+        if len(near):
+            yield i, near
+
+
+def _sight(percent: int):
+    """The members of two blocks that have a candidate in the other one."""
+
+    def run(key, left, right):
+        found = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            side = lambda t: (t.column(1).to_numpy(), t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            ids, ids2 = left.column(0).to_numpy(), right.column(0).to_numpy()
+            rows, columns = [], np.zeros(len(ids2), bool)
+            for i, near in _near(percent, key[1].as_py(), side(left), side(right)):
+                rows.append(i)
+                columns[near] = True
+            found = np.union1d(ids[rows], ids2[columns]) if rows else found
+        return pa.table({"key": pa.array([key[0].as_py()] * len(found), pa.int64()), "doc_id": pa.array(found, pa.int64())})
+
+    return run
+
+
 def _sets(t: pa.Table) -> tuple[np.ndarray, ...]:
-    ids, comp = t.column(0).to_numpy(), t.column(1).to_numpy()
     data, offsets = common.buffers(t.column(2))
     values, ends = common.shingles(data, offsets)
-    return ids, comp, values, ends, sketch(values, ends)
+    return t.column(0).to_numpy(), t.column(1).to_numpy(), values, ends, sketch(values, ends)
 
 
 def _meet(percent: int):
-    """Links that join components, between the members of two blocks of a bucket: those outside the largest component
-    on the left, any on the right. Pairs that share an earlier band are left to that band's bucket."""
+    """Confirmed links that join components, between the members of two blocks."""
 
     def run(key, left, right):
         a, b = [], []
         if left.num_rows and right.num_rows:
-            band = key[1].as_py()
             ids, comp, values, ends, regs = _sets(left)
             ids2, comp2, values2, ends2, regs2 = _sets(right)
-            n2 = np.diff(ends2)
-            width = REGISTERS // BANDS
-            early, early2 = (r[:, : width * band].reshape(len(r), band, width) for r in (regs, regs2))
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -227,20 +267,15 @@ def _meet(percent: int):
                     x = root[x]
                 return x
 
-            for i in range(len(ids)):
-                n = ends[i + 1] - ends[i]
-                est = estimate(regs2, regs[i], n2, np.full(len(n2), n))
-                near = np.flatnonzero((est >= percent / 100 - MARGIN) & (comp2 != comp[i]) & (100 * np.minimum(n2, n) >= percent * np.maximum(n2, n)))
-                if band and len(near):
-                    near = near[~(early2[near] == early[i]).all(axis=2).any(axis=1)]
+            for i, near in _near(percent, key[1].as_py(), (comp, np.diff(ends), regs), (comp2, np.diff(ends2), regs2)):
                 own = values[ends[i] : ends[i + 1]]
-                for j in near[np.argsort(-est[near], kind="stable")].tolist():
+                for j in near.tolist():
                     x, y = find(int(comp[i])), find(int(comp2[j]))
                     if x == y:
                         continue
                     other = values2[ends2[j] : ends2[j + 1]]
-                    shared = int((own[np.minimum(np.searchsorted(own, other), n - 1)] == other).sum())
-                    if 100 * shared >= percent * (n + len(other) - shared):
+                    shared = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if 100 * shared >= percent * (len(own) + len(other) - shared):
                         root[max(x, y)] = min(x, y)
                         a.append(min(int(ids[i]), int(ids2[j])))
                         b.append(max(int(ids[i]), int(ids2[j])))
@@ -249,17 +284,28 @@ def _meet(percent: int):
     return run
 
 
-def _joining_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Round 2 over members(key, band, doc_id, component, n). A task holds two blocks of about BLOCK members; members of
-    the largest component come once for each block of the others."""
+def _blocks(members: DataFrame, columns: list[str]):
+    """Members of each bucket against each other, block by block: (left, right) grouped for a cogroup. The left holds
+    those outside the bucket's largest component, the right all; a task gets two blocks of about BLOCK members, with
+    doc_id, component and `columns` first."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"), F.sum("c").alias("total"))
     main = main.select("key", (-F.col("top.m")).alias("main"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).alias("rows"), F.ceil(F.col("total") / BLOCK).alias("columns"))
-    full = members.join(main, "key").join(texts, "doc_id").withColumns({"row": F.pmod(F.xxhash64("doc_id"), "rows"), "column": F.pmod(F.xxhash64("doc_id", F.lit(1)), "columns")})
-    left = full.where("component <> main").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)"))).select("doc_id", "component", "text", "key", "band", "row", "column")
-    right = full.withColumn("row", F.explode(F.expr("sequence(0, rows - 1)")))
-    right = right.select(F.col("doc_id").alias("rdoc"), F.col("component").alias("rcomponent"), F.col("text").alias("rtext"), F.col("key").alias("rkey"), F.col("band").alias("rband"), F.col("row").alias("rrow"), F.col("column").alias("rcolumn"))
-    return left.groupBy("key", "band", "row", "column").cogroup(right.groupBy("rkey", "rband", "rrow", "rcolumn")).applyInArrow(_meet(percent), "a long, b long").distinct()
+    full = members.join(main, "key").where("rows > 0").withColumns({"row": F.pmod(F.xxhash64("doc_id"), "rows"), "column": F.pmod(F.xxhash64("doc_id", F.lit(1)), "columns")})
+    place = ["key", "band", "row", "column"]
+    left = full.where("component <> main").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)"))).select("doc_id", "component", *columns, *place)
+    right = full.withColumn("row", F.explode(F.expr("sequence(0, rows - 1)"))).select(*[F.col(c).alias(f"r_{c}") for c in ("doc_id", "component", *columns, *place)])
+    return left.groupBy(*place).cogroup(right.groupBy(*[f"r_{c}" for c in place]))
+
+
+def _joining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, store: common.Scratch) -> DataFrame:
+    """Round 2 over members(key, band, doc_id, component, n): sketches show who has a candidate in which bucket, and only
+    those members' texts meet there."""
+    sketched = members.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    seen = store.keep(_blocks(sketched, ["n_shingles", "sketch"]).applyInArrow(_sight(percent), "key long, doc_id long").distinct(), "seen")
+    texts = docs.join(seen.select("doc_id").distinct(), "doc_id", "left_semi")
+    there = members.join(seen, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+    return _blocks(there, ["text"]).applyInArrow(_meet(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -279,16 +325,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = store.keep(full.groupBy(*by).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
     shared = store.keep(_shared(bands(classes)), "shared")
     tried = store.keep(_leader_pairs(shared), "tried")
-    reps = docs.select("doc_id", "text")
+    reps = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = store.keep(reps, "texts")  # of classes that share a band with another
     links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
     label = components(links, store, "first")
 
     named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    spread = shared.join(named, "doc_id")
+    spread = shared.where(F.col("n") > SETTLED).join(named, "doc_id")
     split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     members = store.keep(spread.join(split, "key"), "members")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    more = store.keep(_joining_links(members, texts, percent), "more")
+    more = store.keep(_joining_links(members, classes, reps, percent, store), "more")
     links = links.union(more).distinct()
     if more.limit(1).count():
         label = components(links, store, "last")
