@@ -1,8 +1,8 @@
 """Toxic spans by a two-label linear-chain conditional random field; marginals give document scores and offsets.
 
-Only documents carry labels, so tokens are labelled from them: among words that are far more frequent in toxic
-documents, those are offending that explain toxic documents which no better word explains. The field is fitted to
-windows round candidate words, where tokens outside the candidate lexicon share one feature. A run of such neutral
+Only documents carry labels, so tokens are labelled from them: among words and beginnings of words that are far more
+frequent in toxic documents, those are offending that explain toxic documents which no better one explains. The field is
+fitted to windows round them, where tokens outside this lexicon share one feature. A run of such neutral
 tokens multiplies the same 2 x 2 matrix, so the exact forward and backward messages need one step for each lexicon
 token and one power of that matrix for each run, at any document length.
 """
@@ -24,7 +24,7 @@ from weftlink.llm.common import held_out
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each class that the field is fitted to (the first in the order of a hash of doc_id), and
 #: candidate words. These bound what reaches the driver.
-SAMPLE, LEXICON = 4000, 400
+SAMPLE, LEXICON = 4000, 3000
 WINDOW = 6
 
 
@@ -36,7 +36,7 @@ def lower(text: str) -> str:
 
 @dataclass
 class Field:
-    """Weights: words' emission for label 1 over label 0 (index 0: neutral), transitions, and the document scale."""
+    """index: the lexicon, words and word beginnings marked by *. Weights: emission for label 1 over label 0 (0: neutral), transitions, and the document scale."""
 
     index: dict[str, int]
     emit: np.ndarray
@@ -123,22 +123,33 @@ def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, words: int, steps:
     return emit, trans
 
 
+#: Characters of the word beginnings that count as features beside whole words.
+STEMS = (6, 5, 4, 3)
+
+
+def keys(word: str) -> list[str]:
+    """The features of a token: the word, and its beginnings with a mark, longest first."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            for w in set(TOKEN.findall(lower(text or ""))):
+            for w in {k for t in set(TOKEN.findall(lower(text or ""))) for k in keys(t)}:
                 seen[w][toxic] += 1
     yield pa.RecordBatch.from_pydict({"word": list(seen), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
 
 
 def _occurrences(index: dict[str, int]):
+    """For each text its tokens that have a feature in index: feature and place, a row for each feature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, n = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = TOKEN.findall(lower(text or ""))
-                where = [(index[w], k) for k, w in enumerate(tokens) if w in index]
+                where = [(index[w], k) for k, t in enumerate(tokens) for w in keys(t) if w in index]
                 ids.append([i for i, _ in where])
                 at.append([k for _, k in where])
                 n.append(len(tokens))
@@ -148,8 +159,9 @@ def _occurrences(index: dict[str, int]):
 
 
 def explain(rows: list, names: int, odds: np.ndarray) -> set[int]:
-    """Greedily, the words that explain toxic documents: at each step the word with the most documents still
-    unexplained, weighted by its log odds, while it explains at least three of them and one in a hundred."""
+    """Greedily, the features that explain toxic documents: at each step the one with the most documents still
+    unexplained, weighted by its log odds, while it explains at least three of them and one in four hundred. Then those
+    that stand beside a chosen one, nearly as often and as exclusively."""
     docs = [set(r["ids"]) for r in rows if r["toxic"]]
     open_ = [d for d in docs if d]
     chosen: set[int] = set()
@@ -157,11 +169,17 @@ def explain(rows: list, names: int, odds: np.ndarray) -> set[int]:
         gain = np.bincount([i for d in open_ for i in d], minlength=names) * np.maximum(odds, 0)
         best = int(gain.argmax())
         got = sum(best in d for d in open_)
-        if got < max(3, len(docs) / 100):
+        if got < max(3, len(docs) / 400):
             break
         chosen.add(best)
         open_ = [d for d in open_ if best not in d]
-    return chosen
+    count = np.bincount([i for d in docs for i in d], minlength=names)
+    beside = np.zeros(names)
+    for c in chosen:
+        with_c = np.bincount([i for d in docs if c in d for i in d], minlength=names)
+        beside = np.maximum(beside, np.where(with_c > 0, count / max(1, count[c]), 0))
+    least = min((odds[c] for c in chosen), default=np.inf)
+    return chosen | set(np.flatnonzero((beside >= 0.4) & (odds >= max(least, 3.0)) & (count >= 3)).tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
@@ -176,25 +194,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     if not n.get(0) or not n.get(1):
         return Field({}, np.array([-5.0]), np.zeros((2, 2)))
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(n[1] + 0.5) - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (F.lit(n[0] + 0.5) - F.col("clean")))
-    top = counts.where("toxic >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(LEXICON).collect()
-    index = {r["word"]: k for k, r in enumerate(top, 1)}
+    top = counts.where("toxic >= 3").withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), F.desc(F.length("word")), "word").limit(LEXICON).collect()
+    tried = {r["word"]: k for k, r in enumerate(top, 1)}
     strength = np.array([0.0] + [r["odds"] for r in top])
-    rows = texts.mapInArrow(_occurrences(index), "toxic int, ids array<int>, at array<int>, n int").collect()
-    offending = explain(rows, len(index) + 1, strength)
+    rows = texts.mapInArrow(_occurrences(tried), "toxic int, ids array<int>, at array<int>, n int").collect()
+    offending = explain(rows, len(tried) + 1, strength)
+    final = {k: i for i, k in enumerate(sorted(offending), 1)}
+    index = {w: final[k] for w, k in tried.items() if k in final}
     x, y = [], []
+    lengths = {k: len(w) + (not w.endswith("*")) for w, k in tried.items()}
+    compact = []
     for r in rows:
-        word = dict(zip(r["at"], r["ids"], strict=True))
-        for k in r["at"][:50] or [r["n"] // 2]:  # windows of one document that the fit looks at
+        word: dict[int, int] = {}
+        for k, i in zip(r["at"], r["ids"], strict=True):  # of a token's features the longest that offends
+            if i in final and (k not in word or lengths[i] > lengths[word[k]]):
+                word[k] = i
+        word = {k: final[i] for k, i in word.items()}
+        compact.append((sorted(word), [word[k] for k in sorted(word)], r["n"]))
+        for k in sorted(word)[:50] or [r["n"] // 2]:  # windows of one document that the fit looks at
             span = range(max(0, k - WINDOW), min(r["n"], k + WINDOW + 1))
             if span:
                 ids = [word.get(i, 0) for i in span]
                 x.append(ids)
-                y.append([int(bool(r["toxic"]) and i in offending) for i in ids])
+                y.append([int(bool(r["toxic"]) and i > 0) for i in ids])
     width = 2 * WINDOW + 1
     mask = np.array([[k < len(r) for k in range(width)] for r in x])
     pad = lambda rows: np.array([r + [0] * (width - len(r)) for r in rows])
     field = Field(index, *fit_chain(pad(x), pad(y), mask, len(index) + 1))
-    some = np.array([1 - np.prod(1 - np.clip(field.marginals(r["ids"], r["at"], r["n"]), 0, 1 - 1e-9)) if r["ids"] else 0.0 for r in rows])
+    some = np.array([1 - np.prod(1 - np.clip(field.marginals(ids, at, n), 0, 1 - 1e-9)) if ids else 0.0 for at, ids, n in compact])
     z, t = np.log((some + 1e-4) / (1 - some + 1e-4)), np.array([float(r["toxic"]) for r in rows])
     weight = np.where(t == 1, 1.0, n[1] / n[0] if n[1] > n[0] else 1.0)
     a, b = 1.0, 0.0
@@ -210,7 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
 def _tag(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = set(field.index)
+        heads = {w[:3] for w in field.index}
+        whole = {w for w in field.index if len(w) < 3}
+
+        def feature(token: str) -> int:
+            return next((field.index[k] for k in keys(token) if k in field.index), 0)
+
         empty = field.score(np.zeros(0))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for batch in batches:
@@ -218,13 +250,14 @@ def _tag(field: Field):
             for text in batch.column("text").to_pylist():
                 low = lower(text or "")
                 tokens = TOKEN.findall(low)
-                if lexicon.isdisjoint(tokens):
+                likely = {t for t in tokens if t[:3] in heads}
+                if not any(map(feature, likely)) and whole.isdisjoint(tokens):
                     scores.append(empty)
                     spans.append([])
                     continue
-                where = [(k, m) for k, m in enumerate(TOKEN.finditer(low)) if m[0] in lexicon]
+                where = [(k, m) for k, m in enumerate(TOKEN.finditer(low)) if feature(m[0])]
                 at = [k for k, _ in where]
-                p = field.marginals([field.index[m[0]] for _, m in where], at, len(tokens))
+                p = field.marginals([feature(m[0]) for _, m in where], at, len(tokens))
                 found: list[dict] = []
                 for (k, m), v in zip(where, p, strict=True):
                     if v >= 0.5:
