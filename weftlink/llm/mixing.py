@@ -68,16 +68,30 @@ def _key(seed: int, *parts) -> int:
 
 
 def draw(words: list[int], order: list[int], want: float) -> list[int]:
-    """Of blocks in a permuted order, those that are taken: each that still fits, then the one that brings the sum nearest."""
+    """Of blocks in a permuted order, those that are taken: each that still fits, and one more or a few exchanged where
+    that brings the sum nearer."""
     taken, total = [], 0
     for b in order:
         if total + words[b] <= want:
             taken.append(b)
             total += words[b]
     have = set(taken)
-    best = min((b for b in order if b not in have), key=lambda b: abs(total + words[b] - want), default=None)
-    if best is not None and abs(total + words[best] - want) < abs(want - total):
-        taken.append(best)
+    free = [b for b in order if b not in have]
+    for _ in range(8):
+        if not free or total == want:
+            break
+        size = np.array([words[b] for b in free])
+        change = np.concatenate([size[None, :], size[None, :] - np.array([words[b] for b in taken], np.int64).reshape(-1, 1)])
+        k, j = np.unravel_index(int(np.abs(total + change - want).argmin()), change.shape)  # row 0 adds, others exchange
+        if abs(total + change[k, j] - want) >= abs(total - want):
+            break
+        total += int(change[k, j])
+        new = free.pop(int(j))
+        if k:
+            free.append(taken[k - 1])
+            taken[k - 1] = new
+        else:
+            taken.append(new)
     return taken
 
 
