@@ -42,7 +42,7 @@ def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_blocks": op10_line_blocks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Other operators fit models, draw by hashes, or work on bytes in ways that SQL can't express; tests hold them against
+#: brute force, exact round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op6_hyperminhash": f"""WITH RECURSIVE
+      split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM split),
+      each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+      linked AS (SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+      arcs AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
+      reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, a.y FROM reach r JOIN arcs a ON r.y = a.x)
+      SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = s.doc_id""",
+}
