@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftlink.llm import common
 
 #: Words of the shortest repeat that counts; the largest share of words in such repeats; words of the longest repeat.
-LEAST, COVERED, LONGEST = 8, 0.30, 200
+LEAST, COVERED, LONGEST = 8, 0.45, 200
 #: Base rules: fewest words; the largest percentage of words in repeated three-word windows.
 FEWEST, REPEATED = 50, 50
 SYMBOL = np.zeros(256, np.int64)
