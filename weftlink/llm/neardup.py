@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import common
@@ -125,9 +125,9 @@ def _leader_pairs(shared: DataFrame) -> DataFrame:
     """Each member with two leaders of its bucket: the one whose buckets are largest in all, as an original among its
     edited copies is, and one that is least in an order of the band's own."""
     weight = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    central = F.max(F.struct("weight", (-F.col("doc_id")).alias("m"))).alias("central")
+    central = F.max(F.struct("weight", F.bitwise_not("doc_id").alias("m"))).alias("central")
     other = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("m"))).alias("other")
-    lead = shared.join(weight, "doc_id").groupBy("key").agg(central, other).select("key", F.explode(F.array(-F.col("central.m"), F.col("other.m"))).alias("leader"))
+    lead = shared.join(weight, "doc_id").groupBy("key").agg(central, other).select("key", F.explode(F.array(F.bitwise_not("central.m"), F.col("other.m"))).alias("leader"))
     return shared.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
 
 
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     A leader's text goes once to each group of at most about PER_TASK of its partners.
     """
     texts = docs.select("doc_id", "text")
-    sized = pairs.withColumn("salts", F.ceil(F.count("*").over(Window.partitionBy("a")) / PER_TASK))
+    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).alias("salts")), "a")
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     right = salted.join(texts, salted.b == texts.doc_id).select(F.col("a").alias("ra"), F.col("salt").alias("rsalt"), "b", F.col("text").alias("rtext"))
     groups = salted.select("a", "salt").distinct()
@@ -289,8 +289,8 @@ def _blocks(members: DataFrame, columns: list[str]):
     those outside the bucket's largest component, the right all; a task gets two blocks of about BLOCK members, with
     doc_id, component and `columns` first."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"), F.sum("c").alias("total"))
-    main = main.select("key", (-F.col("top.m")).alias("main"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).alias("rows"), F.ceil(F.col("total") / BLOCK).alias("columns"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("component").alias("m"))).alias("top"), F.sum("c").alias("total"))
+    main = main.select("key", F.bitwise_not("top.m").alias("main"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK).alias("rows"), F.ceil(F.col("total") / BLOCK).alias("columns"))
     full = members.join(main, "key").where("rows > 0").withColumns({"row": F.pmod(F.xxhash64("doc_id"), "rows"), "column": F.pmod(F.xxhash64("doc_id", F.lit(1)), "columns")})
     place = ["key", "band", "row", "column"]
     left = full.where("component <> main").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)"))).select("doc_id", "component", *columns, *place)
