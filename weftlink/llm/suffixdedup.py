@@ -460,8 +460,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GRO
     dealt = texts.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(groups, "g")
     back = lambda df: df.select(F.col("g").alias("rg"), F.col("bucket").alias("rbucket"), F.col("kind").alias("rkind"), F.col("payload").alias("rpayload")).repartition(groups, "rg")
     sent = dealt.groupBy("g").applyInArrow(_send_keys(buckets, length), PACKED)
-    shared = common.Scratch(docs.sparkSession, "suffixes").keep(sent.groupBy("bucket").applyInArrow(_match_keys(hot), PACKED), "shared")
+    shared = common.Scratch(docs.sparkSession, "suffixes").keep(sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_match_keys(hot), PACKED), "shared")
     offered = dealt.groupBy("g").cogroup(back(shared).groupBy("rg")).applyInArrow(_send_runs(buckets, length), PACKED)
-    settled = offered.groupBy("bucket").applyInArrow(_settle(length), PACKED)
+    settled = offered.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_settle(length), PACKED)
     out = dealt.groupBy("g").cogroup(back(shared.union(settled)).groupBy("rg")).applyInArrow(_remove(buckets, length), schema)
     return out.union(texts.where("doc_id is null").mapInArrow(_alone, schema))
