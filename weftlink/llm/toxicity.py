@@ -162,24 +162,26 @@ def explain(rows: list, names: int, odds: np.ndarray) -> set[int]:
     """Greedily, the features that explain toxic documents: at each step the one with the most documents still
     unexplained, weighted by its log odds, while it explains at least three of them and one in four hundred. Then those
     that stand beside a chosen one, nearly as often and as exclusively."""
-    docs = [set(r["ids"]) for r in rows if r["toxic"]]
-    open_ = [d for d in docs if d]
-    chosen: set[int] = set()
-    while open_:
-        gain = np.bincount([i for d in open_ for i in d], minlength=names) * np.maximum(odds, 0)
+    docs = [np.unique(r["ids"]).astype(np.int64) for r in rows if r["toxic"]]
+    doc, key = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([*docs, np.zeros(0, np.int64)])
+    open_, chosen = np.ones(len(docs), bool), []
+    while True:
+        on = open_[doc]
+        gain = np.bincount(key[on], minlength=names) * np.maximum(odds, 0)
         best = int(gain.argmax())
-        got = sum(best in d for d in open_)
-        if got < max(3, len(docs) / 400):
+        got = doc[on & (key == best)]
+        if len(got) < max(3, len(docs) / 400):
             break
-        chosen.add(best)
-        open_ = [d for d in open_ if best not in d]
-    count = np.bincount([i for d in docs for i in d], minlength=names)
+        chosen.append(best)
+        open_[got] = False
+    count = np.bincount(key, minlength=names)
     beside = np.zeros(names)
     for c in chosen:
-        with_c = np.bincount([i for d in docs if c in d for i in d], minlength=names)
-        beside = np.maximum(beside, np.where(with_c > 0, count / max(1, count[c]), 0))
+        with_c = np.zeros(len(docs), bool)
+        with_c[doc[key == c]] = True
+        beside = np.maximum(beside, np.where(np.bincount(key[with_c[doc]], minlength=names) > 0, count / max(1, count[c]), 0))
     least = min((odds[c] for c in chosen), default=np.inf)
-    return chosen | set(np.flatnonzero((beside >= 0.4) & (odds >= max(least, 3.0)) & (count >= 3)).tolist())
+    return set(chosen) | set(np.flatnonzero((beside >= 0.4) & (odds >= max(least, 3.0)) & (count >= 3)).tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
