@@ -45,6 +45,11 @@ def test_nulls_are_empty(spark):
     assert tuple(row) == ("", "", "")
 
 
+def test_retrieval_text_has_bare_accents(spark):
+    rows = spark.createDataFrame([("Café_A & B",), ("plain",)], "t string").select(tx.with_bare_accents("t").alias("a")).collect()
+    assert [r.a for r in rows] == ["café_a and b cafe_a and b", "plain"]
+
+
 def test_grams(spark):
     row = spark.createDataFrame([("ab cd",)], "t string").select(tx.grams(F.col("t"), 2, 3).alias("g"), tx.word_grams(F.col("t"), 2, 3).alias("w"), tx.word_pairs(F.col("t")).alias("p")).first()
     assert sorted(row.g) == sorted(["ab", "b ", " c", "cd", "ab ", "b c", " cd"])

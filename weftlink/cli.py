@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlink.functions.text import with_bare_accents
 from weftlink.operators import audit, blocking, evaluate, features, learning, retrieval, sampling, splits, submission
 from weftlink.schema import RECORD, TRUTH
 from weftlink.session import session
@@ -46,6 +47,7 @@ class Split:
         self.queries = blocking.queries_of(self.read("source1"))
         self.targets = blocking.targets_of(*((s, self.read(s)) for s in SOURCES[1:]))
         self.entities = self.queries.select("source1_entity_id")
+        self.retrieval = (blocking.queries_of(self.read("source1"), with_bare_accents), blocking.targets_of(*((s, self.read(s)) for s in SOURCES[1:]), normalize=with_bare_accents))
 
     def truth(self) -> DataFrame:
         return splits.truth_pairs(self.read("ground_truth"))
@@ -154,7 +156,7 @@ def _report(spark: SparkSession, x: Split, a: argparse.Namespace) -> dict:
 def _sparse(spark: SparkSession, a: argparse.Namespace) -> dict:
     x = Split(spark, a.split)
     config = retrieval.RetrievalConfig(top_k=a.top_k, min_similarity=a.min_similarity, address_weight=a.address_weight)
-    tables.write_table(retrieval.top_k(x.queries, x.targets, config), a.output, overwrite=a.force)
+    tables.write_table(retrieval.top_k(*x.retrieval, config), a.output, overwrite=a.force)
     return _report(spark, x, a)
 
 

@@ -35,14 +35,14 @@ def normalize_unicode(text: pd.Series) -> pd.Series:
 
 
 def _accents(value: str | None) -> str:
-    text = unicodedata.normalize("NFKC", value or "").casefold().strip()
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    text = _fold(value)
+    bare = _fold("".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
     return text if bare == text else f"{text} {bare}"
 
 
 @F.pandas_udf(T.StringType())
 def with_bare_accents(text: pd.Series) -> pd.Series:
-    """The folded text, and behind it the text without accents where that differs."""
+    """The text that name retrieval sees: normalize_unicode, and behind it the same without accents where that differs."""
     return text.map(_accents, na_action=None)
 
 

@@ -7,6 +7,7 @@ of every join key, so it partitions the work; by_country=False drops it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,15 +33,15 @@ class BlockingConfig:
             raise ValueError("all limits must be positive")
 
 
-def queries_of(records: DataFrame) -> DataFrame:
-    return records.select(F.col("entity_id").alias("source1_entity_id"), "country", normalize_sql("business_name").alias("name"), normalize_sql("business_address").alias("address"))
+def queries_of(records: DataFrame, normalize: Callable = normalize_sql) -> DataFrame:
+    return records.select(F.col("entity_id").alias("source1_entity_id"), "country", normalize(F.col("business_name")).alias("name"), normalize(F.col("business_address")).alias("address"))
 
 
-def targets_of(*sources: tuple[str, DataFrame]) -> DataFrame:
+def targets_of(*sources: tuple[str, DataFrame], normalize: Callable = normalize_sql) -> DataFrame:
     """Records of several sources, each tagged with its name."""
     out = None
     for name, records in sources:
-        one = records.select(F.col("entity_id").alias("candidate_entity_id"), F.lit(name).alias("candidate_source"), "country", normalize_sql("business_name").alias("name"), normalize_sql("business_address").alias("address"))
+        one = records.select(F.col("entity_id").alias("candidate_entity_id"), F.lit(name).alias("candidate_source"), "country", normalize(F.col("business_name")).alias("name"), normalize(F.col("business_address")).alias("address"))
         out = one if out is None else out.unionByName(one)
     return out
 

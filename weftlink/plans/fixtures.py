@@ -26,12 +26,12 @@ class Fixture:
     def source(self, k: int) -> DataFrame:
         return self.records.where(F.col("src") == k).drop("src")
 
-    def queries(self) -> DataFrame:
-        return queries_of(self.source(1))
+    def queries(self, normalize=normalize_sql) -> DataFrame:
+        return queries_of(self.source(1), normalize)
 
-    def targets(self) -> DataFrame:
+    def targets(self, normalize=normalize_sql) -> DataFrame:
         one = self.records.where("src > 1").withColumn("candidate_source", F.concat(F.lit("source"), F.col("src")))
-        return one.select(F.col("entity_id").alias("candidate_entity_id"), "candidate_source", "country", normalize_sql("business_name").alias("name"), normalize_sql("business_address").alias("address"))
+        return one.select(F.col("entity_id").alias("candidate_entity_id"), "candidate_source", "country", normalize(F.col("business_name")).alias("name"), normalize(F.col("business_address")).alias("address"))
 
     def raw_targets(self) -> DataFrame:
         return self.records.where("src > 1").select("entity_id", F.concat(F.lit("source"), F.col("src")).alias("source"), "country")
