@@ -107,3 +107,19 @@ def test_repetition_verdicts(awkward, awkward_rows, none, clashing):
     assert got[1].kept and got[2].kept and got[10].n_words == 20000
     assert got[13].n_dup_lines == 39 and got[13].n_repeat_words == 120
     assert repetition.repetition_rules(none).count() == 0 and repetition.repetition_rules(clashing).count() == len(rows)
+
+
+def test_repetition_rejects_what_the_base_rules_pass(spark):
+    words = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))
+    lines = [words(1000 * k, 12) for k in range(1, 11)]
+    texts = [
+        words(0, 880) + "\n" + words(0, 120) + "\n" + words(5000, 1000),  # one long passage twice
+        "\n".join([*lines, words(20000, 800), *lines]),  # many short ones: 240 of 1040 words
+        words(0, 9) + "\n" + words(100, 35) + "\n" + words(0, 9),  # one short line twice
+        words(0, 1000),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[k].kept for k in range(4)] == [False, False, True, True]
+    assert (got[0].longest_repeat, got[1].n_covered_words, got[2].n_covered_words) == (120, 240, 18)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import common
 
-#: Words of the shortest repeat that counts; the largest share of words in such repeats; words of the longest repeat.
-LEAST, COVERED, LONGEST = 8, 0.45, 200
+#: Words of the shortest repeat that counts; the largest share of words in such repeats; words of the longest repeat;
+#: words in repeats that the share lets pass in any text, as where one short line stands twice.
+LEAST, COVERED, LONGEST, SPARED = 8, 0.15, 50, 32
 #: Base rules: fewest words; the largest percentage of words in repeated three-word windows.
 FEWEST, REPEATED = 50, 50
 SYMBOL = np.zeros(256, np.int64)
@@ -164,7 +165,7 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(row[order][1:][same], minlength=rows)
 
 
-def _rules(least: int, covered: float, longest: int):
+def _rules(least: int, covered: float, longest: int, spared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffers(batch.column("text"))
@@ -172,7 +173,7 @@ def _rules(least: int, covered: float, longest: int):
                 at = offsets[a : b + 1]
                 m = measure(data[at[0] : at[-1]], at - at[0], least)
                 base = (m["n_words"] < FEWEST) | (100 * m["n_repeat_words"] > REPEATED * m["n_words"])
-                kept = ~base & (m["n_covered_words"] <= covered * m["n_words"]) & (m["longest_repeat"] <= longest)
+                kept = ~base & (m["n_covered_words"] <= np.maximum(covered * m["n_words"], spared)) & (m["longest_repeat"] <= longest)
                 names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
                 more = ("n_covered_words", "longest_repeat")
                 arrays = [pa.array(m[c].astype(np.int64)) for c in names]
@@ -184,13 +185,13 @@ def _rules(least: int, covered: float, longest: int):
     return run
 
 
-def repetition_rules(docs: DataFrame, least: int = LEAST, covered: float = COVERED, longest: int = LONGEST) -> DataFrame:
+def repetition_rules(docs: DataFrame, least: int = LEAST, covered: float = COVERED, longest: int = LONGEST, spared: int = SPARED) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_covered_words, longest_repeat (0 if under three words).
 
-    kept: not base_failed, at most a share `covered` of the words lies in repeats of `least` words or more, and no repeat
-    is longer than `longest` words. Occurrences may overlap and the first counts. A null or empty text has no word and
+    kept: not base_failed, at most `spared` words or a share `covered` of them lie in repeats of `least` words or more,
+    and no repeat is longer than `longest` words. Occurrences may overlap and the first counts. A null or empty text has no word and
     so fails the base rules. Repeated rows each get a row; other columns are ignored; no rows give none.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rules(least, covered, longest), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rules(least, covered, longest, spared), schema)
