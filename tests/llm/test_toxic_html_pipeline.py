@@ -87,6 +87,19 @@ def test_without_an_article_the_surge_decides():
     assert maintext.main_text(html) == f"Short title\n{text}\n{text}\nOk."
 
 
+def test_surge_and_dive_decide_beside_and_in_an_article():
+    text = ["%d. A paragraph that is long enough to be text, with some more words in it to pass the mark of a surge." % k for k in range(12)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    cards = "".join(f"<article class='card'><h3>Card {k}</h3><p>{'x' * 90}</p></article>" for k in range(5))
+    got = maintext.main_text(f"<div><h1>Title</h1>{paragraphs}</div>{cards}").split("\n")
+    assert got[:13] == ["Title", *text]  # the cards hold over a fifth of the text, but not most of it
+    assert maintext.main_text(f"<p>tiny</p><h1>Title</h1><article>{paragraphs}</article><h2>More</h2><p>tiny</p>").split("\n") == ["Title", *text]
+    notes = "<aside><p>a</p><p>b</p><p>c</p></aside>"
+    assert maintext.main_text(f"<main><p>12 likes</p>{notes}{paragraphs}{notes}<p>Tags: x</p></main>").split("\n") == text
+    more = f"<div>{paragraphs.replace('A paragraph', 'Another paragraph')}</div>"  # as much text again outside is kept
+    assert len(maintext.main_text(f"<article>{paragraphs}<p>And one more to hold most of all.</p><p>{text[0]}</p></article>{more}").split("\n")) == 26
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = maintext.extract(pages).collect()

@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line for each block of text. A line counts its characters, or none if it stands in a menu, a
-notice or the like, outside the page's article, or mostly in links. Sums over a window of WINDOW lines surge where text
-begins and dive where WINDOW lines in a row count nothing; the counted lines between a surge and its dive are kept.
+notice or the like, or mostly in links outside an article. Sums over a window of WINDOW lines surge where text begins and
+dive where WINDOW lines in a row count nothing; the counted lines between a surge and its dive are kept. Where article
+elements hold most of the counted text, their lines weigh twice and others half, and their borders are dives too.
+Headings right before a kept region are kept with it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ BLOCK = frozenset(
 )
 CHROME = frozenset("nav footer aside form button menu dialog label fieldset".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist reply replies disqus respond discussion footer masthead topbar toolbar share sharing social related recommended recommendations login search pagination pager skip copyright legal disclaimer tracking".split()
 )
@@ -65,10 +68,10 @@ def _chrome(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, bool, bool, int]]:
-    """The blocks of text in page order: text, whether it stands in the page's surroundings, whether in an article, and
-    how many of its characters are in links."""
-    out: list[tuple[str, bool, bool, int]] = []
+def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """The blocks of text in page order: text, whether it stands in the page's surroundings, whether in an article, how
+    many of its characters are in links, and whether it is a heading."""
+    out: list[tuple[str, bool, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, surroundings, article
     parts: list[str] = []
     linked: list[str] = []
@@ -79,8 +82,8 @@ def lines(html: str) -> list[tuple[str, bool, bool, int]]:
         if parts:
             text = GAP.sub(" ", unescape("".join(parts))).strip()
             if text:
-                _, off, inside = stack[-1] if stack else ("", False, False)
-                out.append((text, off, inside, len(GAP.sub(" ", unescape("".join(linked))).strip())))
+                tag, off, inside = stack[-1] if stack else ("", False, False)
+                out.append((text, off, inside, len(GAP.sub(" ", unescape("".join(linked))).strip()), tag in HEADINGS))
         parts, linked = [], []
 
     def close(names: set[str] | frozenset[str], within: set[str] | frozenset[str] = frozenset()) -> bool:
@@ -139,24 +142,32 @@ def lines(html: str) -> list[tuple[str, bool, bool, int]]:
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: kept blocks joined by line feeds."""
     found = lines(html)
-    article = sum(len(t) for t, off, inside, _ in found if inside and not off)
-    rest = sum(len(t) for t, off, inside, k in found if not inside and not off and 2 * k <= len(t))
-    only = article > 0 and 4 * article >= rest  # else the article element is a teaser
-    size = [0 if off or (only and not inside) or (2 * k > len(t) and not inside) else len(t) for t, off, inside, k in found]
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    need = min(surge, max(sums, default=0))
-    kept, i = [], 0
+    size = [0 if off or (2 * k > len(t) and not inside) else len(t) for t, off, inside, k, _ in found]
+    article = sum(n for n, line in zip(size, found, strict=True) if line[2])
+    prefer = 2 * article > sum(size)  # else the article elements are teasers, or a part of the text
+    weight = [n * (2 if not prefer else 4 if line[2] else 1) for n, line in zip(size, found, strict=True)]
+    cuts = [k for k in range(1, len(found)) if prefer and found[k][2] != found[k - 1][2]]
+    stop = [b for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True) for _ in range(a, b)]
+    sums = [sum(weight[i : min(i + window, stop[i])]) for i in range(len(size))]
+    need = min(2 * surge, max(sums, default=0))
+    kept: list[int] = []
+    i = 0
     while i < len(size):
         if not size[i]:
             i += 1
             continue
-        j = i  # the region's dive: a window that counts nothing
-        while j < len(size) and sums[j]:
+        j = i  # the region's dive: a window that counts nothing, or the article's border
+        while j < stop[i] and sums[j]:
             j += 1
-        if only or max(sums[i:j]) >= need:
-            kept += [found[k][0] for k in range(i, j) if size[k]]
+        if max(sums[i:j]) >= need:
+            last, k, heads = kept[-1] if kept else -1, i - 1, []
+            while k > last and i - k <= window + len(heads) and (not size[k] or found[k][4]):
+                if size[k]:
+                    heads.append(k)
+                k -= 1
+            kept += [*reversed(heads), *(k for k in range(i, j) if size[k])]
         i = j
-    return "\n".join(kept)
+    return "\n".join(found[k][0] for k in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
