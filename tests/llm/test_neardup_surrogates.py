@@ -124,6 +124,27 @@ def test_surrogates_are_a_bijection_and_keyed():
     assert surrogates.replace("x 10.0.0.1", b"k") == surrogates.replace("x 10.0.0.1", b"k") != surrogates.replace("x 10.0.0.1", b"l")
 
 
+def test_surrogates_of_all_names_of_a_list():
+    """No name runs out, none becomes another of the text, and each is the same as in a text of its own."""
+    lists = [(k, v.split()) for k, v in surrogates.GIVEN.items()]
+    assert len({n for _, v in lists for n in v} | {n for v in surrogates.FAMILY.values() for n in v.split()}) == sum(len(v) for _, v in lists) + sum(len(v.split()) for v in surrogates.FAMILY.values())
+    for (script, gender), names in lists:
+        family = surrogates.FAMILY[script].split()
+        for some in (names[: len(names) // 2], names):
+            text = ". ".join(f"{n} {family[k % len(family)]}" for k, n in enumerate(some))
+            for key in (b"k", b"l", b"m"):
+                new, spans = surrogates.replace(text, key)
+                for kind in ("given", "family"):
+                    pairs = {text[s:e]: o for s, e, t, o in spans if t == kind}
+                    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+                if len(some) < len(names):
+                    assert {surrogates.replace(f"{n} {family[0]}", key)[1][0][3] == o for n, o in ((text[s:e], o) for s, e, t, o in spans if t == "given")} == {True}
+    mails = [f"{a}@{b}.com" for a in range(10) for b in range(10)]  # a short format runs out, and goes on in a longer one
+    _, spans = surrogates.replace(" ".join(mails), b"k")
+    out = {o for *_, o in spans}
+    assert len(spans) == len(mails) == len(out) and not out & set(mails)
+
+
 def test_surrogates_leave_clean_text_alone(awkward, none):
     got = surrogates.surrogates(awkward.where("doc_id <> 9")).select("text", "entities").collect()
     assert sum(len(r.entities) for r in got) == 0

@@ -2,9 +2,10 @@
 
 Each value is permuted within the strings of its own format by a keyed Feistel network over a mixed radix, so equal
 values get equal surrogates in every document (coreference) and different values different ones (distinctness) without
-any table of what has been seen. Names come from lists by gender and script and are permuted there by a keyed cycle, in
-which no name stays as it is. In each document a surrogate that equals one of its originals, or another surrogate, is
-permuted again.
+any table of what has been seen. Names come from lists by gender and script. The first half of a list is what texts
+mostly hold; it goes by a keyed permutation to the second half, the second half to pairs of its names, pairs to triples,
+and so on, so a listed name gets the same surrogate whatever other names of the first halves a text holds. In each
+document a surrogate that equals one of its originals, or another surrogate, is permuted again until it is free.
 """
 
 from __future__ import annotations
@@ -19,26 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Given names and family names by script and gender, honorifics by gender.
+# Given names and family names by script and gender, the second half for surrogates; honorifics by gender.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Clara Sophie Elena Lucia Carmen Marie Claire Camille Ingrid Helga Alice Emily Mary Linda",
-    ("latin", "m"): "John James Robert Michael William David Thomas Peter Paul Martin Carlos Miguel Pedro Javier Pierre Jacques Louis Hans Klaus Stefan",
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия",
-    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел",
-    ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Ιωάννα Ειρήνη Δήμητρα",
-    ("greek", "m"): "Γεώργιος Ιωάννης Δημήτριος Νικόλαος Κωνσταντίνος Παναγιώτης Βασίλειος Χρήστος",
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Clara Sophie Elena Lucia Carmen Marie Claire Camille Ingrid Helga Alice Emily Mary Linda Edith Harriet Beatrice Rosalind Winifred Matilda Josephine Henriette Mathilde Adelheid Gudrun Sigrid Astrid Dolores Pilar Rosario Ximena Odette Solange Yvette",
+    ("latin", "m"): "John James Robert Michael William David Thomas Peter Paul Martin Carlos Miguel Pedro Javier Pierre Jacques Louis Hans Klaus Stefan Arthur Edmund Gilbert Leopold Ludwig Otto Rudolf Siegfried Gustav Konrad Alfonso Ignacio Rodrigo Gonzalo Lorenzo Armand Gaston Marcel Thierry Benedict",
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Варвара Галина Зинаида Клавдия Лидия Людмила Надежда Раиса Тамара Фаина",
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел Аркадий Борис Вадим Геннадий Григорий Евгений Захар Леонид Руслан Фёдор",
+    ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Ιωάννα Ειρήνη Δήμητρα Αθηνά Βασιλική Γεωργία Ευαγγελία Ζωή Θεοδώρα Καλλιόπη Παρασκευή",
+    ("greek", "m"): "Γεώργιος Ιωάννης Δημήτριος Νικόλαος Κωνσταντίνος Παναγιώτης Βασίλειος Χρήστος Αθανάσιος Ανδρέας Απόστολος Ευάγγελος Θεόδωρος Μιχαήλ Σπυρίδων Στέφανος",
 }
 FAMILY = {
-    "latin": "Smith Jones Taylor Brown Wilson Walker Wright Robinson Thompson Hughes Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann García Fernández González Rodríguez López Martínez Sánchez Pérez Dubois Durand Moreau Laurent Lefebvre Bernard",
-    "cyrillic": "Иванов Петров Сидоров Смирнов Кузнецов Попов Васильев Соколов Михайлов Новиков",
-    "greek": "Παπαδόπουλος Οικονόμου Γεωργίου Αντωνίου Δημητρίου Νικολάου Ιωάννου Βασιλείου",
+    "latin": "Smith Jones Taylor Brown Wilson Walker Wright Robinson Thompson Hughes Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann García Fernández González Rodríguez López Martínez Sánchez Pérez Dubois Durand Moreau Laurent Lefebvre Bernard Ashworth Barlow Cartwright Dawson Ellison Fletcher Gibbons Hargreaves Ingram Kendall Langley Merritt Neumann Vogel Krüger Lehmann Schuster Winkler Zimmermann Aguilar Cabrera Delgado Espinoza Herrera Mendoza Navarro Beaumont Chevalier Delacroix Fontaine Girard Marchand",
+    "cyrillic": "Иванов Петров Сидоров Смирнов Кузнецов Попов Васильев Соколов Михайлов Новиков Аксёнов Борисов Воробьёв Горбунов Данилов Ефимов Жуков Зайцев Кириллов Лебедев",
+    "greek": "Παπαδόπουλος Οικονόμου Γεωργίου Αντωνίου Δημητρίου Νικολάου Ιωάννου Βασιλείου Αγγελόπουλος Αλεξίου Δημόπουλος Καραγιάννης Κωνσταντίνου Μακρής Σταματίου Χατζής",
 }
 HONORIFIC = {"m": "Mr Herr Señor Monsieur Sir", "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Mlle", "": "Dr Prof"}
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 _CLASS = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
-_GIVEN = {n: (k, i) for k, names in GIVEN.items() for i, n in enumerate(names.split())}
-_FAMILY = {n: (k, i) for k, names in FAMILY.items() for i, n in enumerate(names.split())}
+_LISTS = {k: names.split() for k, names in (GIVEN | FAMILY).items()}
+_GIVEN = {n for names in GIVEN.values() for n in names.split()}
+_LISTED = {n: (k, i) for k, names in _LISTS.items() for i, n in enumerate(names)}
 _TITLE = {t: g for g, ts in HONORIFIC.items() for t in ts.split()}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώA-Z'’-]+"
 NAMED = re.compile(
@@ -54,6 +56,8 @@ NUMBER = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3}[ .-]\d{3,4}(?:[ .-]\d{2,4}){0,2}(?!\d)|(?<!\w)\+\d{8,15}(?!\d))"
 )
+#: A longer format for a value whose own has no other string free; numbers have more strings than a text has values.
+LONGER: dict[str, Callable[[str], str]] = {"email": lambda v: "a" + v} | dict.fromkeys(("secret", "given", "family"), lambda v: v + "a")
 DIGIT = re.compile(r"\d{3}|\d\.\d")
 HINTS = ("token", "secret", "key", "passw", "pwd", "akia", "gh", "sk-")
 
@@ -144,30 +148,40 @@ def cycle(n: int, key: bytes, tweak: str) -> list[int]:
     return at
 
 
-def given(value: str, key: bytes, tweak: str) -> str:
-    if value in _GIVEN:
-        kind, k = _GIVEN[value]
-        names = GIVEN[kind].split()
-        return names[cycle(len(names), key, f"{tweak}|{kind}")[k]]
-    return family(value, key, tweak)
-
-
-def family(value: str, key: bytes, tweak: str) -> str:
-    """A listed name becomes another of its script; Russian feminine forms stay feminine. Others are scrambled, and
-    never become a listed one."""
-    for base, ending in ((value, ""), (value[:-1], "а") if value.endswith("а") else (value, "")):
-        if base in _FAMILY:
-            kind, k = _FAMILY[base]
-            names = FAMILY[kind].split()
-            return names[cycle(len(names), key, f"{tweak}|{kind}")[k]] + ending
+def _place(value: str) -> tuple[object, int, int, str] | None:
+    """List, level, index and ending of a listed name: level 0 is the first half of a list, level m > 0 has m names of
+    the second half in their order there, with hyphens. Russian feminine family names are the listed ones and an ending."""
+    for base, ending in ((value, ""), (value[:-1], "а")) if value.endswith("а") else ((value, ""),):
+        found = [_LISTED.get(part) for part in base.split("-")]
+        if None in found or ending and found[0][0] != "cyrillic":
+            continue
+        kind, first = found[0]
+        half = len(_LISTS[kind]) // 2
+        if first < half and len(found) == 1:
+            return kind, 0, first, ending
+        if all(f == (kind, half + (first - half + t) % half) for t, f in enumerate(found)):
+            return kind, len(found), first - half, ending
+    return None
+
+
+def person(value: str, key: bytes, tweak: str) -> str:
+    """A listed name goes to the next level of its list, so that it keeps gender and script. Others are scrambled, and
+    never become a listed one. One-to-one."""
+    place = _place(value)
+    if place:
+        kind, level, k, ending = place
+        names = _LISTS[kind]
+        half = len(names) // 2
+        k = permute(k, half, key, f"{tweak}|{kind}|{level}")
+        return "-".join(names[half + (k + t) % half] for t in range(level + 1)) + ending
     out = scramble(value, key, tweak)
-    while out in _FAMILY or out in _GIVEN:
+    while _place(out):
         out = scramble(out, key, tweak)
     return out
 
 
 MAKE: dict[str, Callable[[str, bytes, str], str]] = {
-    "email": email, "secret": secret, "card": card, "ip": ip, "given": given, "family": family,
+    "email": email, "secret": secret, "card": card, "ip": ip, "given": person, "family": person,
     "iban": lambda v, k, t: scramble(v, k, t, keep=4), "ssn": scramble, "phone": lambda v, k, t: scramble(v, k, t, keep=len(re.match(r"(?:\+\d{1,3}(?=\D))?", v)[0])),
 }
 
@@ -205,22 +219,34 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def free(kind: str, value: str, key: bytes, busy: set[tuple[str, str]]) -> str:
+    """The first surrogate along the permutation that isn't busy. One that comes back to its start has none free: then
+    another permutation, or one of a longer format, goes on."""
+    start, tweak = value, kind
+    new = MAKE[kind](value, key, tweak)
+    while new == start or (kind, new) in busy:
+        if new == start:
+            if kind in LONGER:
+                start = LONGER[kind](start)
+            else:
+                tweak += "|again"
+            new = start
+        new = MAKE[kind](new, key, tweak)
+    return new
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, end, type, surrogate) in code points of the original."""
     found = detect(text)
     if not found:
         return text, []
-    originals = {(kind, text[s:e]) for s, e, kind in found}
+    busy = {(kind, text[s:e]) for s, e, kind in found}
     taken: dict[tuple[str, str], str] = {}
-    used: set[tuple[str, str]] = set()
     for s, e, kind in found:
         at = (kind, text[s:e])
         if at not in taken:
-            new, walked = MAKE[kind](at[1], key, kind), 0
-            while ((kind, new) in originals or (kind, new) in used) and walked < 64:
-                new, walked = MAKE[kind](new, key, kind), walked + 1
-            taken[at] = new
-            used.add((kind, new))
+            taken[at] = free(kind, at[1], key, busy)
+            busy.add((kind, taken[at]))
     out, last, spans = [], 0, []
     for s, e, kind in found:
         new = taken[kind, text[s:e]]
