@@ -204,3 +204,15 @@ def test_stream_gives_the_batch_result(spark, records, tmp_path):
     stream_candidates(stream, t, lambda df, k: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{k}"), f"{tmp_path}/checkpoint").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out/*")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocking.rule_candidates(q, t).collect()))
+
+
+def test_registered_retrieval_has_the_operators_defaults(spark, sf_dir, monkeypatch):
+    from weftlink.plans import registry
+
+    partners = registry.QUERIES["text_topk"](spark, sf_dir).groupBy("source1_entity_id", "candidate_source").count().agg(F.max("count")).first()[0]
+    assert 10 < partners <= 50
+    seen = []
+    monkeypatch.setattr(retrieval, "top_k", lambda q, t, config, **more: seen.append(config) or q)
+    for name in ("text_topk", "fused_topk"):
+        registry.QUERIES[name](spark, sf_dir)
+    assert [(c.top_k, c.low, c.high) for c in seen] == [(50, 2, 5), (100, 2, 5)]

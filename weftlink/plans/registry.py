@@ -141,15 +141,15 @@ def word_bigram_topk(x: Fixture) -> DataFrame:
 @query()
 def fused_topk(x: Fixture) -> DataFrame:
     """Names and addresses fused, the address at 0.35, with and without accents."""
-    return retrieval.top_k(x.queries(tx.with_bare_accents), x.targets(tx.with_bare_accents), retrieval.RetrievalConfig(top_k=20, address_weight=0.35))
+    return retrieval.top_k(x.queries(tx.with_bare_accents), x.targets(tx.with_bare_accents), retrieval.RetrievalConfig(address_weight=0.35))
 
 
 @query()
 def text_topk(x: Fixture) -> DataFrame:
     """Whole records by grams inside words, countries mixed."""
     text = lambda df: df.withColumn("name", tx.field_text(F.col("name"), F.col("address")))
-    config = retrieval.RetrievalConfig(top_k=10, low=4, high=5)
-    return retrieval.top_k(text(x.queries(tx.normalize_unicode)), text(x.targets(tx.normalize_unicode)), config, by_country=False, grams=lambda c: tx.word_grams(c, 4, 5))
+    config = retrieval.RetrievalConfig(top_k=50)
+    return retrieval.top_k(text(x.queries(tx.normalize_unicode)), text(x.targets(tx.normalize_unicode)), config, by_country=False, grams=lambda c: tx.word_grams(c, config.low, config.high))
 
 
 _UNION = f"SELECT {PAIR}, max(a) AS exact_name, max(b) AS exact_address, max(c) AS fuzzy_score, max(d) AS shared_blocking_keys, 0.0::DOUBLE AS char_name_score FROM (SELECT {PAIR}, exact_name AS a, exact_address AS b, 0.0::DOUBLE AS c, 0 AS d FROM exact UNION ALL SELECT {PAIR}, 0, 0, fuzzy_score, shared_blocking_keys FROM fuzzy) GROUP BY ALL"
