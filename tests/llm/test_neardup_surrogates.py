@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from weftlink.llm import common, neardup, surrogates
 
@@ -63,9 +64,12 @@ def test_components_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_second_round_alone_finds_the_links(spark, monkeypatch):
-    """Without the pairs of round 1, blocks of a few members must find every component."""
-    monkeypatch.setattr(neardup, "_leader_pairs", lambda shared: shared.selectExpr("doc_id a", "doc_id b").where("false"))
+@pytest.mark.parametrize("skip", [["_first_pairs"], ["_second_pairs"], ["_first_pairs", "_second_pairs"]])
+def test_each_round_finds_what_others_leave(spark, monkeypatch, skip):
+    """Without the pairs of a round, those after it must find every component; blocks have a few members."""
+    nothing = lambda shared, *tried: shared.selectExpr("doc_id a", "doc_id b").where("false")
+    for name in skip:
+        monkeypatch.setattr(neardup, name, nothing)
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "SETTLED", 1)
     rows = _corpus()
@@ -73,12 +77,59 @@ def test_second_round_alone_finds_the_links(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows)
 
 
+def test_a_hot_group_makes_few_pairs(spark, monkeypatch):
+    """Near copies of one text: a pair or two each, and links that stay a forest's number at any size."""
+    rng, base, seen = random.Random(3), [f"w{k}" for k in range(200)], []
+    real = neardup.confirm
+
+    def counted(pairs, docs, percent):
+        seen.append(pairs.count())
+        return real(pairs, docs, percent)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    rows = list(enumerate([" ".join(base), *(_edited(base, rng, 3) for _ in range(500))]))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(seen) <= 2 * len(rows)
+
+
+def test_a_bucket_of_unlinked_members(spark):
+    """Texts that share a long passage, and so bands, but are no near copies; two pairs among them are."""
+    rng, passage = random.Random(8), " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(50))) for k in range(300)]
+    rows += [(1000, rows[7][1] + " more"), (1001, "one " + rows[250][1])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(rows) and got[1000][1] == 7 and got[1001][1] == 250
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components(spark, shape):
+    rng = random.Random(5)
+    links = {"chain": [(k, k + 1) for k in range(300)], "star": [(0, k) for k in range(1, 400)], "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]}[shape]
+    root = {k: k for ab in links for k in ab}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if all(root[a] == root[b] for a, b in links):
+            break
+    got = neardup.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "t"), "t").collect()
+    loops = {a for a, b in links if a == b} - {k for a, b in links if a != b for k in (a, b)}
+    assert {r.node: r.component for r in got} == {k: v for k, v in root.items() if k not in loops}
+
+
+def test_repeated_ids_of_different_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, one), (1, two), (5, two), (6, one + " end"), (7, two + " end"), (9, "alone")]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (9, 9)]
+
+
 def test_near_duplicate_edge_cases(awkward, awkward_rows, none, clashing):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == len(awkward_rows)
     for r in got:
         if r.doc_id in (4, 5, 6):
-            assert r.n_shingles == 0 and r.kept and r.component_id == r.doc_id and r.n_links == 0
+            assert r.n_shingles == 0 and r.kept and r.component_id == r.doc_id
         if r.doc_id is None:
             assert r.component_id is None and r.kept
     ids = {r.doc_id: r.component_id for r in got}

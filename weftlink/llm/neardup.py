@@ -6,12 +6,14 @@ one, chosen by a walk that is the same in every document, so small sets agree re
 equal to their Jaccard similarity. BANDS bands of four registers find candidates: at a similarity of 0.75 a pair shares
 no band with a probability under 1e-5.
 
-Links are settled in two rounds. Round 1 pairs each member of a band bucket with two leaders of the bucket; before
-verification the estimate, corrected for registers that agree by chance, drops hopeless pairs, and what is left is
-confirmed on the full shingle sets. Round 2 takes the buckets in which several components are left and compares every
-member outside the largest one with all members, block against block: similar sketches of different components are
-confirmed on the full sets at once, and only the links that join components leave the task. Exact copies of a shingle
-set are one class from the start and are never expanded into pairs.
+Links are settled in three rounds, each of which only looks at what is still apart. Round 1 pairs each member with one
+leader, the central member that it shares most buckets with. Round 2 pairs the members of buckets that still hold
+several components with two leaders of the bucket. Before verification the estimate, corrected for registers that agree
+by chance, drops hopeless pairs, and what is left is confirmed on the full shingle sets (of 64-bit hashes of shingles).
+Round 3 takes the buckets that are split even now and compares every member outside the largest component with all
+members, block against block: similar sketches of different components are confirmed on the full sets at once, and only
+the links that join components leave the task. After each round linked components become one, by contraction of one link
+for each two components. Exact copies of a shingle set are one class from the start and are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ REGISTERS, MANTISSA, BANDS = 128, 10, 32
 MARGIN = 0.15
 #: Members of a leader that are verified together; a leader with more is dealt out by salt.
 PER_TASK = 500
-#: Buckets of so many members are settled by round 1, where their only pair meets.
+#: Buckets of so many members are settled by round 2, where their only pair meets.
 SETTLED = 2
-#: Members of a bucket that round 2 compares as one block.
+#: Members of a bucket that round 3 compares as one block.
 BLOCK = 512
 
 
@@ -117,18 +119,36 @@ def _pair(x: str, y: str):
 
 
 def _shared(banded: DataFrame) -> DataFrame:
-    """The band rows of buckets with more than one member, with the bucket's size n."""
-    return banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    """The band rows of buckets with more than one member, with the bucket's size n and the weight of the member: the
+    sizes of its buckets in all, which is greatest for an original among its edited copies."""
+    many = banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    return many.join(many.groupBy("doc_id").agg(F.sum("n").alias("weight")), "doc_id")
 
 
-def _leader_pairs(shared: DataFrame) -> DataFrame:
-    """Each member with two leaders of its bucket: the one whose buckets are largest in all, as an original among its
-    edited copies is, and one that is least in an order of the band's own."""
-    weight = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """Each member once, with the one of its buckets' central members that it meets in most bands."""
     central = F.max(F.struct("weight", F.bitwise_not("doc_id").alias("m"))).alias("central")
-    other = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("m"))).alias("other")
-    lead = shared.join(weight, "doc_id").groupBy("key").agg(central, other).select("key", F.explode(F.array(F.bitwise_not("central.m"), F.col("other.m"))).alias("leader"))
-    return shared.join(lead, "key").where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
+    lead = shared.groupBy("key").agg(central).select("key", "central.weight", F.bitwise_not("central.m").alias("leader"))
+    met = shared.drop("weight").join(lead, "key").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("times", "weight", F.bitwise_not("leader").alias("m"))).alias("best"))
+    return best.select(F.bitwise_not("best.m").alias("a"), F.col("doc_id").alias("b"))
+
+
+def _split(spread: DataFrame) -> DataFrame:
+    """The rows of spread(key, component, ...) in buckets that hold several components."""
+    keys = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return spread.join(keys, "key", "left_semi")
+
+
+def _second_pairs(split: DataFrame, tried: DataFrame) -> DataFrame:
+    """Each member of a bucket that is still split with the bucket's central member, and with one that is least in an
+    order of the band's own, where they are in other components and were no pair before."""
+    other = F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("m"), F.col("component").alias("c"))).alias("other")
+    central = F.max(F.struct("weight", F.bitwise_not("doc_id").alias("m"), F.col("component").alias("c"))).alias("central")
+    lead = split.groupBy("key").agg(central, other)
+    lead = lead.select("key", F.explode(F.array(F.struct(F.bitwise_not("central.m").alias("m"), "central.c"), F.struct("other.m", "other.c"))).alias("l"))
+    pairs = split.join(lead, "key").where("component <> l.c").select(F.col("l.m").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 
 
 def _likely(threshold: float):
@@ -154,18 +174,19 @@ def _verify(percent: int):
     def run(key, left, right):
         a, b = [], []
         if left.num_rows and right.num_rows:
-            mine, _ = common.shingles(*common.buffers(left.column("text").slice(0, 1)))
+            every, bounds = common.shingles(*common.buffers(left.column("text")))  # one text, unless a doc_id repeats
             data, offsets = common.buffers(right.column("rtext"))
             ids = right.column("b").to_numpy()
             for i, j in common.slices(offsets, 1 << 20):
                 at = offsets[i : j + 1]
                 values, ends = common.shingles(data[at[0] : at[-1]], at - at[0])
-                spot = np.searchsorted(mine, values)
-                hit = mine[np.minimum(spot, len(mine) - 1)] == values
-                total = np.concatenate([[0], np.cumsum(hit)])
-                shared = total[ends[1:]] - total[ends[:-1]]
-                ok = 100 * shared >= percent * (len(mine) + np.diff(ends) - shared)
-                b += ids[i:j][ok].tolist()
+                ok = np.zeros(j - i, bool)
+                for mine in filter(len, np.split(every, bounds[1:-1])):
+                    hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    shared = total[ends[1:]] - total[ends[:-1]]
+                    ok |= 100 * shared >= percent * (len(mine) + np.diff(ends) - shared)
+                b += np.unique(ids[i:j][ok]).tolist()
             a = [key[0].as_py()] * len(b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -187,25 +208,42 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, store: common.Scratch, name: str) -> DataFrame:
-    """node, component (the least node that is reachable) of every node that has a link.
+    """node, component (the least node that is reachable) of every node of links(a, b).
 
-    Each step takes the least label among the neighbours, then follows labels of labels, so that the number of steps
-    grows as the logarithm of the longest path. Steps are written tables; the driver sees only a count.
+    Each step sends every node to that neighbour, or itself, which is first in an order by hash, and goes on with the
+    links between the nodes that were reached. They are fewer at each step, in stars and in chains alike, so the work of
+    all steps stays in proportion to the links. Steps are written tables; the driver sees only counts.
     """
-    both = store.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-arcs")
-    label = store.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node"), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("c").alias("m"))
-        low = label.join(near, label.node == near.a, "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        hop = label.select(F.col("node").alias("c"), F.col("c").alias("next"))
-        new = store.keep(low.join(hop, "c", "left").select("node", "old", F.least("c", F.coalesce("next", "c")).alias("c")), f"{name}-{step}")
-        moved = new.where("c <> old").limit(1).count()
-        store.drop(f"{name}-{step - 1}")
-        label = new.select("node", "c")
-        if not moved:
-            return label.withColumnRenamed("c", "component")
+    first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+    edges = store.keep(links.select(*_pair("a", "b")).where("a <> b").distinct(), f"{name}-0")
+    moves: list[DataFrame] = []
+    while edges.count():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        near = ends.groupBy("node").agg(F.min(first("to")).alias("near"))
+        move = store.keep(near.select("node", F.least("near", first("node"))["to"].alias("to")), f"{name}-move-{len(moves)}")
+        moves.append(move)
+        side = lambda k: move.select(F.col("node").alias(k), F.col("to").alias(f"to_{k}"))  # noqa: E731, B023
+        edges = edges.join(side("a"), "a").join(side("b"), "b").where("to_a <> to_b").select(*_pair("to_a", "to_b")).distinct()
+        edges = store.keep(edges, f"{name}-{len(moves)}")
+        store.drop(f"{name}-{len(moves) - 1}")
+    if not moves:
+        return links.sparkSession.createDataFrame([], "node long, component long")
+    end = moves.pop()
+    for move in reversed(moves):
+        later = end.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        end = move.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    end = store.keep(end, f"{name}-ends")
+    least = end.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component"))
+    return store.keep(end.join(least, "to").select("node", "component"), f"{name}-components")
+
+
+def _joined(named: DataFrame, links: DataFrame, store: common.Scratch, name: str) -> DataFrame:
+    """named(doc_id, component) after links(a, b) between its documents: linked components become one, under the least
+    id. Only one link for each two components goes on."""
+    side = lambda k: named.select(F.col("doc_id").alias(k), F.col("component").alias(f"c_{k}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    new = components(between, store, name).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return store.keep(named.join(new, "component", "left").select("doc_id", F.coalesce("new", "component").alias("component")), f"{name}-named")
 
 
 def _near(percent: int, band: int, left: tuple, right: tuple) -> Iterator[tuple[int, np.ndarray]]:
@@ -299,7 +337,7 @@ def _blocks(members: DataFrame, columns: list[str]):
 
 
 def _joining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, store: common.Scratch) -> DataFrame:
-    """Round 2 over members(key, band, doc_id, component, n): sketches show who has a candidate in which bucket, and only
+    """Round 3 over members(key, band, doc_id, component, n): sketches show who has a candidate in which bucket, and only
     those members' texts meet there."""
     sketched = members.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     seen = store.keep(_blocks(sketched, ["n_shingles", "sketch"]).applyInArrow(_sight(percent), "key long, doc_id long").distinct(), "seen")
@@ -311,36 +349,33 @@ def _joining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, perc
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate components of docs(doc_id, text, ...), linked at 100 * intersection >= percent * union.
 
-    Returns doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id = component_id), n_links
-    (confirmed pairs of the document's class, one at least where it is linked). Texts that are null or have no word have no shingle, link with nothing
-    and are kept. Rows that repeat a doc_id each get a row; rows with a null doc_id get a null component and are kept.
-    Other columns are ignored. An empty table gives an empty result.
+    Returns doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id = component_id). Texts that are
+    null or have no word have no shingle, link with nothing and are kept. Rows that repeat a doc_id each get a row, by
+    their own text; where that doc_id is the least of two texts' copies, both texts stand for it and it is linked where
+    either is. Rows with a null doc_id get a null component, link with nothing and are kept. Other columns are ignored.
+    An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    store = common.Scratch(spark, "neardup")
+    store = common.Scratch(docs.sparkSession, "neardup")
     threshold = percent / 100
     sig = store.keep(signatures(docs), "sig")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     by = ["n_shingles", "set_a", "set_b"]
     classes = store.keep(full.groupBy(*by).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
     shared = store.keep(_shared(bands(classes)), "shared")
-    tried = store.keep(_leader_pairs(shared), "tried")
-    reps = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
-    reps = store.keep(reps, "texts")  # of classes that share a band with another
+    meeting = shared.select("doc_id").distinct()  # representatives of classes that share a band with another
+    reps = store.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(meeting, "doc_id", "left_semi"), "texts")
+    tried = store.keep(_first_pairs(shared), "tried")
     links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
-    label = components(links, store, "first")
-
-    named = classes.join(label, classes.doc_id == label.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    spread = shared.where(F.col("n") > SETTLED).join(named, "doc_id")
-    split = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = store.keep(spread.join(split, "key"), "members")
-    more = store.keep(_joining_links(members, classes, reps, percent, store), "more")
-    links = links.union(more).distinct()
-    if more.limit(1).count():
-        label = components(links, store, "last")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    facts = classes.join(label, classes.doc_id == label.node, "left").drop("node").join(degree, classes.doc_id == degree.node, "left")
-    facts = facts.select(*by, F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = _joined(meeting.select("doc_id", F.col("doc_id").alias("component")), links, store, "first")
+
+    split = store.keep(_split(shared.join(named, "doc_id")), "split")
+    links = store.keep(confirm(_screen(_second_pairs(split, tried), classes, threshold), reps, percent), "more-links")
+    named = _joined(named, links, store, "second")
+
+    members = store.keep(_split(split.drop("component").where(F.col("n") > SETTLED).join(named, "doc_id")), "members")
+    named = _joined(named, _joining_links(members, classes, reps, percent, store), store, "last")
+
+    facts = classes.join(named, "doc_id", "left").select(*by, F.coalesce("component", "doc_id").alias("component"))
     out = sig.drop("sketch").join(facts, by, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
