@@ -36,6 +36,32 @@ def test_draw_comes_near():
         assert abs(got - want) <= 25.5
 
 
+def test_draw_is_nearest():
+    """No subset comes nearer, by all subsets; large sizes come as near as rounding lets them."""
+    rng = random.Random(4)
+    for _ in range(200):
+        words = [rng.choice([0, 1, 3, 7, 50, 400, 401]) for _ in range(rng.randrange(11))]
+        want = rng.random() * (sum(words) + 5)
+        sums = {0}
+        for w in words:
+            sums |= {s + w for s in sums}
+        order = rng.sample(range(len(words)), len(words))
+        got = mixing.draw(words, order, want)
+        assert len(set(got)) == len(got)
+        assert abs(sum(words[b] for b in got) - want) == min(abs(s - want) for s in sums)
+    words = [rng.randrange(10**8, 10**9) for _ in range(1000)]
+    want = 0.37 * sum(words)
+    got = mixing.draw(words, list(range(1000)), want)
+    assert len(set(got)) == len(got) and abs(sum(words[b] for b in got) - want) < 1e-4 * want
+    assert set(range(300)) <= set(got)  # the permuted order decides all but the last
+
+
+def test_layout_follows_the_words():
+    for words in (0, 10**6, 10**9, 10**13):
+        shards, runs, blocks = mixing.layout(words, 10)
+        assert shards * runs * mixing.RUN_WORDS >= words and 10 * shards <= max(mixing.MOST_ENDS, 10 * mixing.SHARDS) and blocks >= 16 * shards
+
+
 def test_mix_over_documents(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix(docs).withColumn("taken", F.col("size") * F.size("draws")).collect()
@@ -59,7 +85,12 @@ def test_mix_edge_cases(awkward, awkward_rows, none, clashing):
         assert r.source_size >= r["size"] and len(r.draws) <= 3 and r.target <= 3 * r.source_size
     assert {r.source for r in rows if r.doc_id in (4, 6)} == {None} and all(r.target == 0 and not r.draws for r in rows if r.source is None)
     assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0
-    assert mixing.mix(clashing).count() == len(rows) and mixing.mixed_rows(clashing).columns == clashing.columns
+    assert mixing.mix(clashing).count() == len(rows)
+    own = "mix_none mix_src mix_block mix_draws mix_draw mix_rank row rank shard draw words pass turn".split()
+    more = clashing.withColumns({n: F.lit(f"my {n}") for n in own})
+    back = mixing.mixed_rows(more)
+    assert back.columns == more.columns and back.schema == more.schema
+    assert all(r[n] == f"my {n}" for r in back.collect() for n in own)
 
 
 def test_ids_equal_the_tokenizer():

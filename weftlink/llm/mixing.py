@@ -1,24 +1,32 @@
 """Mixing sources to target weights: exact block quotas, split among output shards by a hypergeometric tree.
 
-A document belongs to one of BLOCKS blocks of its source. A source's target is met by whole passes over its blocks and
-one partial pass of permuted blocks, drawn so that their words come nearest to what is left. The units (pass, block)
-of all sources are dealt to the output shards by a binary tree: each node draws, from a multivariate hypergeometric
-distribution, how many units of every source go left. A shard gets disjoint runs of each source's permuted units, and
-orders its own documents by a hash. The driver holds a few numbers for each source and shard, never blocks or documents.
+A document belongs to one of the blocks of its source. A source's target is met by whole passes over its blocks and one
+partial pass of permuted blocks, whose last ones are chosen by subset sums so that their words come nearest to what is
+left. The units (pass, block) of all sources are dealt to the output shards by a binary tree: each node draws, from a
+multivariate hypergeometric distribution, how many units of every source go left. A shard gets disjoint runs of each
+source's permuted units, and orders its own documents by a hash. Shards, and the blocks of a source, follow the number of
+words. The driver holds a number for each source and shard, MOST_ENDS in all, never blocks or documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.common import Scratch
 
-BLOCKS, SHARDS, CAP, SEED = 1024, 16, 3, 20260925
+CAP, SEED = 3, 20260925
+#: Words of a shard and of one of its runs; blocks of a source for each shard; shards and blocks at least; numbers that the
+#: driver holds at most, by sources times shards: with more sources shards grow, and have more runs.
+SHARD_WORDS, RUN_WORDS, BLOCKS_EACH, SHARDS, BLOCKS, MOST_ENDS = 1 << 27, 1 << 21, 16, 16, 1024, 1 << 20
+#: Blocks before and behind the end of a partial pass that subset sums choose from; sums that are told apart.
+CHOICE, SUMS = 64, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,32 +75,39 @@ def _key(seed: int, *parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr((seed, *parts)).encode(), digest_size=8).digest(), "big")
 
 
+def nearest(sizes: list[int], want: float) -> list[int]:
+    """Indices of sizes whose sum comes nearest to want: exact up to SUMS in all, else of sizes rounded to a share of
+    1 / SUMS of their sum. The reachable sums are the bits of a number for each size in turn."""
+    unit = max(1, -(-sum(sizes) // SUMS))
+    small = [-(-n // unit) if unit > 1 else n for n in sizes]
+    reach = [1]
+    for n in small:
+        reach.append(reach[-1] | reach[-1] << n)
+    goal = want / unit
+    low = max(0, int(goal))
+    below = (reach[-1] & ((1 << (low + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (low + 1)
+    up = low + (above & -above).bit_length() if above else None
+    left = up if up is not None and up - goal < goal - below else below
+    out = []
+    for k in range(len(small) - 1, -1, -1):
+        if not reach[k] >> left & 1:
+            out.append(k)
+            left -= small[k]
+    return out[::-1]
+
+
 def draw(words: list[int], order: list[int], want: float) -> list[int]:
-    """Of blocks in a permuted order, those that are taken: each that still fits, and one more or a few exchanged where
-    that brings the sum nearer."""
-    taken, total = [], 0
-    for b in order:
-        if total + words[b] <= want:
-            taken.append(b)
-            total += words[b]
-    have = set(taken)
-    free = [b for b in order if b not in have]
-    for _ in range(8):
-        if not free or total == want:
-            break
-        size = np.array([words[b] for b in free])
-        change = np.concatenate([size[None, :], size[None, :] - np.array([words[b] for b in taken], np.int64).reshape(-1, 1)])
-        k, j = np.unravel_index(int(np.abs(total + change - want).argmin()), change.shape)  # row 0 adds, others exchange
-        if abs(total + change[k, j] - want) >= abs(total - want):
-            break
-        total += int(change[k, j])
-        new = free.pop(int(j))
-        if k:
-            free.append(taken[k - 1])
-            taken[k - 1] = new
-        else:
-            taken.append(new)
-    return taken
+    """Of blocks in a permuted order, those that are taken: the first ones up to CHOICE before their sum passes want, and
+    of the next 2 * CHOICE those that bring it nearest to want."""
+    total, end = 0, 0
+    while end < len(order) and total + words[order[end]] <= want:
+        total += words[order[end]]
+        end += 1
+    first = max(0, min(end - CHOICE, len(order) - 2 * CHOICE))
+    choice = order[first : first + 2 * CHOICE]
+    base = sum(words[b] for b in order[:first])
+    return order[:first] + [choice[k] for k in nearest([words[b] for b in choice], want - base)]
 
 
 def _choose(plan: dict[tuple[bool, str], float], seed: int):
@@ -111,66 +126,93 @@ def _choose(plan: dict[tuple[bool, str], float], seed: int):
     return run
 
 
+def _deal(ends: dict[tuple[bool, str], np.ndarray]):
+    """The shard of each unit: a source's turns up to its first end go to shard 0, and so on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            turns, shard = t.column("turn").to_numpy(), np.zeros(t.num_rows, np.int32)
+            source = np.array(list(zip(t.column("mix_none").to_pylist(), t.column("mix_src").to_pylist(), strict=True)) or [("", "")], dtype="O,O")[: t.num_rows]
+            for key in set(source.tolist()):
+                on = np.array([k == key for k in source.tolist()], bool)
+                shard[on] = np.searchsorted(ends[key], turns[on], "right")
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("mix_none", "mix_src", "mix_block", "pass")), pa.array(shard)], ["mix_none", "mix_src", "mix_block", "pass", "shard"])
+
+    return run
+
+
 #: Block rows up to which they go to every executor; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 200_000
+BY = ["mix_none", "mix_src", "mix_block"]
+
+
+def _place(blocks: int, seed: int, doc_id: str = "doc_id", source: str = "source") -> list:
+    """The key of a row's block: whether its source is null, the source, and a number by hash of doc_id."""
+    name = F.col(source).cast("string")
+    block = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(seed)), F.lit(blocks))
+    return [name.isNull().alias(BY[0]), F.coalesce(name, F.lit("")).alias(BY[1]), block.alias(BY[2])]
 
 
-def _placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    source = F.col("source").cast("string")
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(blocks))
-    return docs.withColumns({"mix_none": source.isNull(), "mix_src": F.coalesce(source, F.lit("")), "mix_block": block})
+def _bounded(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
 
 
-def _bounded(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= MOST_BROADCAST else small
+def layout(words: int, sources: int) -> tuple[int, int, int]:
+    """(shards, runs of a shard, blocks of a source) for so many words and sources."""
+    shards = max(SHARDS, min(-(-words // SHARD_WORDS), max(1, MOST_ENDS // max(1, sources))))
+    return shards, max(1, -(-words // (shards * RUN_WORDS))), max(BLOCKS, BLOCKS_EACH * shards)
 
 
-def plan_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sizes of the documents, draws of each block): what the mix decides, as written tables."""
+def plan_blocks(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, blocks: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, int, int]:
+    """(sizes of the documents, draws of each block, blocks of a source, runs of a shard): what the mix decides. The
+    first two are written tables."""
     spark = docs.sparkSession
     store = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = _placed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), blocks, seed)
-    sized = store.keep(sized, "sized")
-    by = ["mix_none", "mix_src"]
-    stats = store.keep(sized.groupBy(*by, "mix_block").agg(F.sum("size").alias("words")), "blocks")
-    sizes = {(r[0], r[1]): int(r["n"]) for r in stats.groupBy(*by).agg(F.sum("words").alias("n")).collect()}
+    sized = store.keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sized")
+    name = F.col("source")
+    found = sized.groupBy(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("src")).agg(F.sum("size").alias("n")).collect()
+    sizes = {(r["none"], r["src"]): int(r["n"]) for r in found}
+    made, runs, many = layout(sum(sizes.values()), len(sizes))
+    shards, blocks = shards or made, blocks or many
+    stats = store.keep(sized.select(*_place(blocks, seed), "size").groupBy(*BY).agg(F.sum("size").alias("words")), "blocks")
     aim = targets({None if none else s: n for (none, s), n in sizes.items()}, weights)
     plan = {k: aim[None if k[0] else k[1]] for k in sizes}
-    units = store.keep(stats.groupBy(*by).applyInPandas(_choose(plan, seed), "mix_none boolean, mix_src string, mix_block long, pass int, turn long"), "units")
-    count = {(r[0], r[1]): r["count"] for r in units.groupBy(*by).count().collect()}
+    units = store.keep(stats.groupBy(*BY[:2]).applyInPandas(_choose(plan, seed), "mix_none boolean, mix_src string, mix_block long, pass int, turn long"), "units")
+    count = {(r[0], r[1]): r["count"] for r in units.groupBy(*BY[:2]).count().collect()}
     names = sorted(sizes, key=lambda k: (k[0], k[1].encode()))
     ends = np.cumsum(split_tree(np.array([count.get(k, 0) for k in names]), shards, seed), axis=0)
-    facts = spark.createDataFrame(
-        [(*k, sizes[k], plan[k], ends[:, i].tolist()) for i, k in enumerate(names)], "mix_none boolean, mix_src string, source_size long, target double, ends array<long>"
-    )
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("turn"))).alias("shard")
-    dealt = units.join(facts.select(*by, "ends"), by).groupBy(*by, "mix_block").agg(F.sort_array(F.collect_list(F.struct("pass", shard))).alias("draws"))
+    dealt = units.mapInArrow(_deal({k: ends[:, i] for i, k in enumerate(names)}), "mix_none boolean, mix_src string, mix_block long, pass int, shard int")
+    dealt = dealt.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    facts = spark.createDataFrame([(*k, sizes[k], plan[k]) for k in names], "mix_none boolean, mix_src string, source_size long, target double")
     empty = F.from_json(F.lit("[]"), "array<struct<pass:int,shard:int>>")
-    draws = stats.join(dealt, [*by, "mix_block"], "left").join(facts.drop("ends"), by).select(*by, "mix_block", "source_size", "target", F.coalesce("draws", empty).alias("draws"))
-    return sized, store.keep(draws, "draws")
+    draws = stats.join(dealt, BY, "left").join(facts, BY[:2]).select(*BY, "source_size", "target", F.coalesce("draws", empty).alias("draws"))
+    return sized, store.keep(draws, "draws"), blocks, runs
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text, source, ...) mixed so that all words are shared among the sources by weight.
 
     Returns doc_id, source, size (words of the text; null text 0), source_size, target (of its source), draws: an array
     of struct(pass, shard), one entry for each time the mix takes the document, at most CAP. A null source is a source
     of its own, last in order. A source without words has target 0 and no draws. Rows that repeat a doc_id share a
     block and so are drawn together; a null doc_id has a block too. Reruns agree: everything follows from hashes.
-    Only the number of sources, times shards, reaches the driver. Other columns are ignored; no rows give none.
+    A source's size, target and shards' shares reach the driver, MOST_ENDS numbers at most while there are fewer than
+    MOST_ENDS / SHARDS sources, and some numbers for each source beyond. Other columns are ignored; no rows give none.
     """
-    sized, draws = plan_blocks(docs, weights, shards, blocks, seed)
-    out = sized.join(_bounded(draws, draws.count()), ["mix_none", "mix_src", "mix_block"])
+    sized, draws, blocks, _ = plan_blocks(docs, weights, shards, blocks, seed)
+    out = sized.select("*", *_place(blocks, seed)).join(_bounded(draws), BY)
     return out.select("doc_id", "source", "size", "source_size", "target", "draws")
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """The rows of docs as often as mix(docs) draws them, with docs' columns, shuffled inside each shard: rows of one
-    shard come in the order of a hash, cut into 64 runs that follow each other and may lie in different partitions."""
-    _, draws = plan_blocks(docs, weights, shards, blocks, seed)
-    both = _placed(docs, blocks, seed).join(_bounded(draws.select("mix_none", "mix_src", "mix_block", F.col("draws").alias("mix_draws")), draws.count()), ["mix_none", "mix_src", "mix_block"])
-    each = both.withColumn("mix_draw", F.explode("mix_draws")).withColumn("mix_rank", F.xxhash64("doc_id", "mix_draw.pass", F.lit(seed + 1)))
-    run = F.shiftright(F.col("mix_rank"), 58)
-    order = [F.col("mix_draw.shard"), F.col("mix_rank")]
-    return each.repartition(F.col("mix_draw.shard"), run).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs as often as mix(docs) draws them, with docs' columns of whatever names, shuffled inside each
+    shard: rows of one shard come in the order of a hash, cut into runs that follow each other and may lie in different
+    partitions. Nulls, ties, repeats and empty tables are as in mix."""
+    _, draws, blocks, runs = plan_blocks(docs, weights, shards, blocks, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash
+    both = docs.select(row).select("row", *_place(blocks, seed, "row.doc_id", "row.source")).join(_bounded(draws.select(*BY, "draws")), BY)
+    rank = F.shiftrightunsigned(F.xxhash64("row.doc_id", "draw.pass", F.lit(seed + 1)), 1)
+    each = both.select("row", F.explode("draws").alias("draw")).select("row", "draw.shard", rank.alias("rank"))
+    run = F.shiftright(F.shiftright("rank", 32) * F.lit(runs), 31)
+    return each.repartition("shard", run).sortWithinPartitions("shard", "rank").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -50,6 +50,11 @@ def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", "draws")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7: each document's words, its source's, and the source's target."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_repetition": op5_suffix_repetition,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_hypergeometric_mix": op7_hypergeometric_mix,
+    "mixing_targets": mixing_targets,
     "op8_packing": op8_packing,
     "op9_toxic_spans": op9_toxic_spans,
     "op10_line_blocks": op10_line_blocks,
@@ -88,4 +94,13 @@ ORACLE_SQL: dict[str, str] = {
       arcs AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
       reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, a.y FROM reach r JOIN arcs a ON r.y = a.x)
       SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = s.doc_id""",
+    # the sources whose cap lies under their share are those with the least cap for each unit of weight
+    "mixing_targets": """WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+      total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+      weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, sum(source_size) OVER () AS every FROM total),
+      filled AS (SELECT *, 3.0 * source_size / w AS most, count(*) OVER before AS k, coalesce(sum(3 * source_size) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS free FROM weighed
+        WINDOW before AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      level AS (SELECT arg_min((every - capped)::DOUBLE / free, k) FILTER (WHERE most >= (every - capped)::DOUBLE / free) AS share FROM filled),
+      aim AS (SELECT source, source_size, round(least(w * share, 3 * source_size)::DOUBLE, 4) AS target FROM filled, level)
+      SELECT doc_id, size, source_size, target FROM sized JOIN aim ON sized.source IS NOT DISTINCT FROM aim.source""",
 }
