@@ -61,6 +61,40 @@ def test_removed_bytes(spark, awkward, awkward_rows, options):
         assert len(r.spans) == r.n_spans and sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_bytes_decide_where_hashes_are_equal(spark, awkward_rows, monkeypatch):
+    """All runs of an anchor share one hash: the result stays."""
+    monkeypatch.setattr(suffixdedup.Group, "_hash", lambda self, start, size: np.zeros(len(start), np.uint64))
+    rows = [(i, t) for i, t, *_ in awkward_rows if i not in (10, 11) and i is not None]
+    got = []
+    for part in np.array_split(np.arange(len(rows)), 2):  # two groups, in one process, where the patch holds
+        ids = [rows[k][0] for k in part]
+        got.append(suffixdedup.Group(_table(ids, [rows[k][1] for k in part]), 50))
+    for group in got:
+        known, _ = group.keys()
+        e = group.entries(np.ones(len(known), bool), np.zeros(len(known), bool), known)
+        text = group.data.tobytes()
+        for k, start, n in zip(e["of"], e["at"], e["size"]):
+            assert n == e["n"][k] and text[start : start + n + 49] == text[e["start"][k] : e["start"][k] + n + 49]
+        seen = {}
+        for k, a, n in zip(e["key"], e["start"], e["n"], strict=True):
+            seen.setdefault(int(k), set()).add(text[a : a + n + 49])
+        assert sum(map(len, seen.values())) <= len(e["key"])
+
+
+def _table(ids, texts):
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def test_buckets_are_even():
+    rng = np.random.default_rng(3)
+    words = [b"%d" % w for w in rng.integers(0, 5000, 60000)]
+    group = suffixdedup.Group(_table([1], [b" ".join(words).decode()]), 50)
+    sizes = np.bincount((group.key >> np.uint64(32)).astype(np.int64) * 64 >> 16, minlength=64)
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > sizes.mean() / 2
+
+
 def test_removal_of_nothing(none, clashing):
     assert suffixdedup.remove_repeats(none).count() == 0
     assert suffixdedup.remove_repeats(clashing).count() == clashing.count()

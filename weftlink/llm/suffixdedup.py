@@ -6,10 +6,11 @@ arrays, one row for each pair of a document group and an anchor bucket, settle e
 
 1. anchors found in one document only go no further;
 2. for the others each group sends its distinct runs, each once with the least document that has it. In a bucket, runs
-   of an anchor with a single distinct run are settled by that least document. Where an anchor has different runs (at
-   the borders of matches) a suffix array over the distinct runs finds equal windows: suffixes smaller than their
-   successors are sorted directly, the others are induced by scans of the first-byte buckets, and windows whose
-   adjacent common prefix reaches LENGTH form one class with the least document of its runs;
+   of an anchor with a single distinct run are settled by that least document: all windows of it are equal. Where an
+   anchor has different runs (at the borders of matches) a suffix array over the distinct runs finds equal windows:
+   suffixes smaller than their successors are sorted directly, the others are induced by scans of the first-byte
+   buckets, and windows whose adjacent common prefix reaches LENGTH form one class with the least document of its runs.
+   Hashes only bring runs together; they count as one run where their bytes are compared and equal;
 3. each document removes the bytes under windows whose class has a smaller document.
 
 Groups are dealt by a hash of doc_id and send a run once, however many copies they hold, so a hot passage costs one
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from weftlink.llm import common
 
 LENGTH, Q = 50, 16
-#: Windows in a run at most; text bytes in a group and groups' most; documents from which an anchor is dealt by windows.
-RUN, GROUP_BYTES, MOST_BUCKETS, HOT = 64, 8 << 20, 4096, 20_000
+#: Windows in a run at most; text bytes in a group; anchor buckets for each group; documents from which an anchor is
+#: dealt by windows.
+RUN, GROUP_BYTES, BUCKETS_EACH, HOT = 64, 8 << 20, 2, 20_000
 SLICE = 1 << 18
 
 
@@ -94,6 +96,28 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def leaders(new: np.ndarray, order: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """new, which marks the first of each run of entries that hashes say are the same, in order; with those marked too
+    whose bytes (size bytes of text from start on) aren't those of the marked one before them."""
+    new = new.copy()
+    while True:
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        rest = np.flatnonzero(~new)
+        own, first = order[rest], lead[rest]
+        wrong = size[own] != size[first]
+        ends = np.cumsum(size[own])
+        i = 0
+        while i < len(rest):  # so many bytes at a time
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            n = np.minimum(size[own[i:j]], size[first[i:j]])
+            differ = text[spread(start[own[i:j]], n)] != text[spread(start[first[i:j]], n)]
+            wrong[i:j] |= np.logical_or.reduceat(differ, np.cumsum(n) - n)
+            i = j
+        if not wrong.any():
+            return new
+        new[rest[wrong]] = True
+
+
 class Group:
     """The runs of a group of documents, and which of them leave the group."""
 
@@ -102,7 +126,7 @@ class Group:
         self.ids = t.column("doc_id").to_numpy()
         self.data, self.offsets = common.buffers(t.column("text"))
         self.start, self.n, anchor = runs(self.data, self.offsets, length)
-        self.key = anchor >> np.uint64(16)
+        self.key = common.mix(anchor) >> np.uint64(16)  # a least hash is small; mixed, keys are spread evenly
         self.doc = self.ids[np.searchsorted(self.offsets, self.start, "right") - 1] if len(self.start) else np.zeros(0, np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +157,7 @@ class Group:
         key, digest, doc, start, size = key[order], digest[order], doc[order], start[order], size[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+        new = leaders(new, np.arange(len(key)), self.data, start, size + self.length - 1)
         entry = np.cumsum(new) - 1
         return {"key": key[new], "hash": digest[new], "doc": doc[new], "start": start[new], "n": size[new], "of": entry, "at": start, "own": doc, "size": size}
 
@@ -369,6 +394,7 @@ def _settle(length: int, most: int = 1 << 20):
         order = np.lexsort((d, h, k))
         new = np.ones(len(k), bool)
         new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+        new = leaders(new, order, text, at, n + length - 1)
         rep = order[new]  # the least document of each distinct run
         run_of = np.empty(len(k), np.int64)
         run_of[order] = np.cumsum(new) - 1
@@ -455,7 +481,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GRO
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))
-    buckets = min(4 * groups, MOST_BUCKETS)
+    buckets = BUCKETS_EACH * groups
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     dealt = texts.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(groups, "g")
     back = lambda df: df.select(F.col("g").alias("rg"), F.col("bucket").alias("rbucket"), F.col("kind").alias("rkind"), F.col("payload").alias("rpayload")).repartition(groups, "rg")
