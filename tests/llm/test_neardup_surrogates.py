@@ -171,29 +171,77 @@ def test_surrogates_are_a_bijection_and_keyed():
     assert sorted(surrogates.permute(x, 97, b"k", "t") for x in range(97)) == list(range(97))
     every = {surrogates.scramble(f"a{k:03d}-Z", b"k", "t") for k in range(1000)}
     assert len(every) == 1000
-    assert sorted(surrogates.cycle(9, b"k", "t")) == list(range(9)) and all(k != v for k, v in enumerate(surrogates.cycle(9, b"k", "t")))
+    assert all(surrogates.permute(x, n, b"k", "t") != x for n in (2, 3, 10, 97, 1000) for x in range(n))
     assert surrogates.replace("x 10.0.0.1", b"k") == surrogates.replace("x 10.0.0.1", b"k") != surrogates.replace("x 10.0.0.1", b"l")
 
 
-def test_surrogates_of_all_names_of_a_list():
-    """No name runs out, none becomes another of the text, and each is the same as in a text of its own."""
-    lists = [(k, v.split()) for k, v in surrogates.GIVEN.items()]
-    assert len({n for _, v in lists for n in v} | {n for v in surrogates.FAMILY.values() for n in v.split()}) == sum(len(v) for _, v in lists) + sum(len(v.split()) for v in surrogates.FAMILY.values())
-    for (script, gender), names in lists:
-        family = surrogates.FAMILY[script].split()
-        for some in (names[: len(names) // 2], names):
-            text = ". ".join(f"{n} {family[k % len(family)]}" for k, n in enumerate(some))
-            for key in (b"k", b"l", b"m"):
-                new, spans = surrogates.replace(text, key)
-                for kind in ("given", "family"):
-                    pairs = {text[s:e]: o for s, e, t, o in spans if t == kind}
-                    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
-                if len(some) < len(names):
-                    assert {surrogates.replace(f"{n} {family[0]}", key)[1][0][3] == o for n, o in ((text[s:e], o) for s, e, t, o in spans if t == "given")} == {True}
-    mails = [f"{a}@{b}.com" for a in range(10) for b in range(10)]  # a short format runs out, and goes on in a longer one
+def test_surrogates_of_names_agree_in_every_text():
+    """Every listed name has one surrogate, whatever stands beside it, and no other name has the same."""
+    assert len({n for v in surrogates.GIVEN.values() for n in v.split()} | {n for v in surrogates.FAMILY.values() for n in v.split()}) == sum(len(v.split()) for v in [*surrogates.GIVEN.values(), *surrogates.FAMILY.values()])
+    for key in (b"k", b"l"):
+        seen = {"given": {}, "family": {}}
+        for (script, _gender), names in surrogates.GIVEN.items():
+            family, names = surrogates.FAMILY[script].split(), names.split()
+            every = [(n, family[k % len(family)]) for k, n in enumerate(names)] + [(names[k % len(names)], f) for k, f in enumerate(family)]
+            texts = [f"{a} {b} came." for a, b in every] + [f"{a} {b} met {c} {d}." for a, b in every[:12] + every[-8:] for c, d in every[::3]] + [". ".join(" ".join(n) for n in every)]
+            for text in texts:
+                for s, e, kind, new in surrogates.replace(text, key)[1]:
+                    assert seen[kind].setdefault(text[s:e], new) == new != text[s:e]
+        for pairs in seen.values():
+            assert len(set(pairs.values())) == len(pairs) >= 100
+        half = {n for v in surrogates.GIVEN.values() for n in v.split()[: len(v.split()) // 2]}
+        assert not half & {seen["given"][n] for n in half}  # what texts mostly hold is never what stands for it
+
+
+def test_surrogates_of_a_small_format_are_distinct():
+    mails = [f"{a}@{b}.com" for a in range(10) for b in range(10)]
     _, spans = surrogates.replace(" ".join(mails), b"k")
-    out = {o for *_, o in spans}
-    assert len(spans) == len(mails) == len(out) and not out & set(mails)
+    assert len({o for *_, o in spans}) == len(spans) == len(mails) and all(o != m for (*_, o), m in zip(spans, mails, strict=True))
+
+
+@pytest.mark.parametrize("secret", ["密码密码密码密码", "!!!!!!!!", "########", "ışığğğğ", "пароль-1", "abcdef", "....//", "😀😀😀😀😀😀", "p@ssw0rd!", "ＡＢＣＤＥＦ", "שלוםשלום", "______", "a!!!!!"])
+def test_no_secret_survives(secret):
+    for hint in ("password: ", "secret = ", "token:"):
+        new, ((s, e, kind, out),) = surrogates.replace(hint + secret, b"k")
+        assert kind == "secret" and secret not in new and out != secret and (s, e) == (len(hint), len(hint) + len(secret)) and new == hint + out
+        assert surrogates.replace("x " * 70000 + hint + secret, b"k")[1][0][2:] == (kind, out)  # one rule at any length
+
+
+def test_iban_keeps_its_remainder():
+    rest = lambda v: int("".join(str(int(c, 36)) for c in (v[4:] + v[:4]).replace(" ", ""))) % 97
+    seen = set()
+    for k in range(300):
+        body = f"{k * 7919 % 10**18:018d}"
+        value = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        assert rest(value) == 1
+        out = surrogates.replace(value, b"k")[0]
+        assert rest(out) == 1 and out[:2] == "DE" and len(out) == 22 and out != value
+        seen.add(out)
+    assert len(seen) == 300
+    wrong = "GB33 BUKB 2020 1555 5555 56"
+    assert rest(surrogates.replace(wrong, b"k")[0]) == rest(wrong)
+
+
+def test_names_after_cues_and_addresses_of_six():
+    new, spans = surrogates.replace("contact Priya Patel, Wei Zhang, Fatima Khan. My name is Oluwaseun Adeyemi at 2001:db8::ff00:42:8329.", b"k")
+    assert [k for *_, k, _ in spans] == ["given", "family"] * 4 + ["ip6"]
+    assert not any(n in new for n in "Priya Patel Wei Zhang Fatima Khan Oluwaseun Adeyemi 8329".split())
+    clean = "std::map a::b at 10:30:00, ratio 1:2:3, C::d, contact us, Dear all"
+    assert surrogates.replace(clean, b"k") == (clean, [])
+
+
+def test_many_entities_in_one_text():
+    import time
+
+    text = " ".join(f"user{k}@host{k % 977}.example.com" for k in range(40000))
+    began = time.perf_counter()
+    assert len({o for *_, o in surrogates.replace(text, b"k")[1]}) == 40000
+    assert time.perf_counter() - began < 40  # in proportion to the entities
+
+
+def test_surrogates_with_clashing_columns(clashing, awkward_rows):
+    out = surrogates.surrogates(clashing)
+    assert out.columns == [c for c in clashing.columns if c != "entities"] + ["entities"] and out.count() == len(awkward_rows)
 
 
 def test_surrogates_leave_clean_text_alone(awkward, none):

@@ -1,17 +1,20 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-Each value is permuted within the strings of its own format by a keyed Feistel network over a mixed radix, so equal
-values get equal surrogates in every document (coreference) and different values different ones (distinctness) without
-any table of what has been seen. Names come from lists by gender and script. The first half of a list is what texts
-mostly hold; it goes by a keyed permutation to the second half, the second half to pairs of its names, pairs to triples,
-and so on, so a listed name gets the same surrogate whatever other names of the first halves a text holds. In each
-document a surrogate that equals one of its originals, or another surrogate, is permuted again until it is free.
+Each value is permuted within the strings of its own format by a keyed Feistel network over a mixed radix, conjugated
+with a step by one: a bijection that leaves nothing in place. So equal values get equal surrogates in every document
+(coreference) and different values different ones (distinctness), without a table of what has been seen and whatever else
+a text holds. Names come from lists by gender and script. The first half of a list is what texts mostly hold; it goes by a
+keyed permutation to the second half, the second half to pairs of its names, pairs to triples, and so on.
+`collisions` checks a corpus for surrogates that stand for two values.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -20,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Given names and family names by script and gender, the second half for surrogates; honorifics by gender.
+# Given names and family names by script and gender, the second half for surrogates; words before a name; honorifics by gender.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Clara Sophie Elena Lucia Carmen Marie Claire Camille Ingrid Helga Alice Emily Mary Linda Edith Harriet Beatrice Rosalind Winifred Matilda Josephine Henriette Mathilde Adelheid Gudrun Sigrid Astrid Dolores Pilar Rosario Ximena Odette Solange Yvette",
-    ("latin", "m"): "John James Robert Michael William David Thomas Peter Paul Martin Carlos Miguel Pedro Javier Pierre Jacques Louis Hans Klaus Stefan Arthur Edmund Gilbert Leopold Ludwig Otto Rudolf Siegfried Gustav Konrad Alfonso Ignacio Rodrigo Gonzalo Lorenzo Armand Gaston Marcel Thierry Benedict",
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Clara Sophie Elena Lucia Carmen Marie Claire Camille Ingrid Helga Alice Emily Mary Linda Priya Ananya Fatima Aisha Leila Mei Yuki Sakura Edith Harriet Beatrice Rosalind Winifred Matilda Josephine Henriette Mathilde Adelheid Gudrun Sigrid Astrid Dolores Pilar Rosario Ximena Odette Solange Yvette Lakshmi Kavya Zainab Noor Yasmin Lihua Haruka Chiyo",
+    ("latin", "m"): "John James Robert Michael William David Thomas Peter Paul Martin Carlos Miguel Pedro Javier Pierre Jacques Louis Hans Klaus Stefan Wei Jun Raj Arjun Mohammed Ahmed Omar Hiroshi Arthur Edmund Gilbert Leopold Ludwig Otto Rudolf Siegfried Gustav Konrad Alfonso Ignacio Rodrigo Gonzalo Lorenzo Armand Gaston Marcel Thierry Benedict Bowen Kang Sanjay Vikram Ibrahim Yusuf Tariq Kenji",
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Варвара Галина Зинаида Клавдия Лидия Людмила Надежда Раиса Тамара Фаина",
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел Аркадий Борис Вадим Геннадий Григорий Евгений Захар Леонид Руслан Фёдор",
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Ιωάννα Ειρήνη Δήμητρα Αθηνά Βασιλική Γεωργία Ευαγγελία Ζωή Θεοδώρα Καλλιόπη Παρασκευή",
@@ -34,9 +37,13 @@ FAMILY = {
     "cyrillic": "Иванов Петров Сидоров Смирнов Кузнецов Попов Васильев Соколов Михайлов Новиков Аксёнов Борисов Воробьёв Горбунов Данилов Ефимов Жуков Зайцев Кириллов Лебедев",
     "greek": "Παπαδόπουλος Οικονόμου Γεωργίου Αντωνίου Δημητρίου Νικολάου Ιωάννου Βασιλείου Αγγελόπουλος Αλεξίου Δημόπουλος Καραγιάννης Κωνσταντίνου Μακρής Σταματίου Χατζής",
 }
+CUES = ("[Mm]y name is", "[Nn]ame:", "[Cc]ontact", "[Cc]ontact:", "Dear", "[Ss]igned by", "Signed,", "Sincerely,", "Regards,", "Kontakt:", "Nombre:", "Nom:", "Contacto:")
 HONORIFIC = {"m": "Mr Herr Señor Monsieur Sir", "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Mlle", "": "Dr Prof"}
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
+PUNCTUATION = "!#$%&()*+-./:=?@[\\]^_`{|}~"
+#: Letters and digits under which a secret's marks are permuted too.
+FEW = 6
 _CLASS = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 _LISTS = {k: names.split() for k, names in (GIVEN | FAMILY).items()}
 _GIVEN = {n for names in GIVEN.values() for n in names.split()}
@@ -45,10 +52,11 @@ _TITLE = {t: g for g, ts in HONORIFIC.items() for t in ts.split()}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώA-Z'’-]+"
 NAMED = re.compile(
     rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?[ ](?P<a>{_NAME})(?:[ ](?P<b>{_NAME}))?"
-    rf"|(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})[ ](?P<family>{_NAME}))(?!\w)"
+    rf"|(?P<given>{'|'.join(sorted(_GIVEN, key=len, reverse=True))})[ ](?P<family>{_NAME})"
+    rf"|(?:{'|'.join(CUES)})[ ](?P<first>{_NAME})[ ](?P<last>{_NAME}))(?!\w)"
 )
 EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
-SECRET = re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"',;<>]{6,})|(?P<w>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)")
+SECRET = re.compile(r"(?ai:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\s\"',;<>]{6,})|(?P<w>\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)")
 NUMBER = re.compile(
     r"(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d))"
@@ -56,23 +64,26 @@ NUMBER = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{3}[ .-]\d{3,4}(?:[ .-]\d{2,4}){0,2}(?!\d)|(?<!\w)\+\d{8,15}(?!\d))"
 )
-#: A longer format for a value whose own has no other string free; numbers have more strings than a text has values.
-LONGER: dict[str, Callable[[str], str]] = {"email": lambda v: "a" + v} | dict.fromkeys(("secret", "given", "family"), lambda v: v + "a")
+GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+IP6 = re.compile(rf"(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:{GROUPS})?::(?:{GROUPS})?)(?![\w:])")
 DIGIT = re.compile(r"\d{3}|\d\.\d")
 HINTS = ("token", "secret", "key", "passw", "pwd", "akia", "gh", "sk-")
 
 
-def permute(x: int, n: int, key: bytes, tweak: str) -> int:
-    """A keyed bijection of 0 .. n - 1: an alternating Feistel network over a * b >= n, walked until it falls below n."""
-    if n <= 1:
-        return 0
+def _network(x: int, n: int, key: bytes, tweak: str, back: bool) -> int:
+    """A keyed bijection of 0 .. n - 1, or its inverse: an alternating Feistel network over a * b >= n, walked until it
+    falls below n."""
     a = isqrt(n - 1) + 1
     b = -(-n // a)
+    sign, size = -1 if back else 1, n.bit_length() // 8 + 1
+    base = hashlib.blake2b(f"{tweak}|{n:x}|".encode(), key=key, digest_size=32)
     while True:
         left, right = x % a, x // a
-        for r in range(8):
+        for r in range(7, -1, -1) if back else range(8):
             half = right if r % 2 == 0 else left
-            f = int.from_bytes(hashlib.blake2b(f"{tweak}|{n}|{r}|{half}".encode(), key=key, digest_size=32).digest(), "big")
+            h = base.copy()
+            h.update(bytes([r]) + half.to_bytes(size, "big"))
+            f = sign * int.from_bytes(h.digest(), "big")
             if r % 2 == 0:
                 left = (left + f) % a
             else:
@@ -82,22 +93,39 @@ def permute(x: int, n: int, key: bytes, tweak: str) -> int:
             return x
 
 
-def scramble(value: str, key: bytes, tweak: str, keep: int = 0) -> str:
-    """Another string of the same format: each letter or digit after the first `keep` characters stays in its alphabet,
-    other characters stay. A bijection of the strings of one format."""
-    kinds = [_CLASS.get(c) if k >= keep else None for k, c in enumerate(value)]
+def permute(x: int, n: int, key: bytes, tweak: str) -> int:
+    """A keyed bijection of 0 .. n - 1 that leaves nothing in place where n > 1: the network, one step on, and back."""
+    if n <= 1:
+        return 0
+    return _network((_network(x, n, key, tweak, False) + 1) % n, n, key, tweak, True)
+
+
+@functools.cache
+def alphabet(c: str) -> str:
+    """The characters that c may become: a listed alphabet, or those of its 128 code points with its category; of
+    spaces, marks and controls none but itself."""
+    if c in _CLASS:
+        return _CLASS[c][0]
+    kind = unicodedata.category(c)
+    if c.isascii() or kind[0] in "ZCP":
+        return c
+    low = ord(c) & ~127
+    return "".join(x for x in map(chr, range(low, low + 128)) if unicodedata.category(x) == kind and x not in _CLASS)
+
+
+def scramble(value: str, key: bytes, tweak: str, keep: int = 0, marks: bool = False) -> str:
+    """Another string of the same format: each character after the first `keep` stays in its alphabet; marks too if
+    asked for. A bijection of the strings of one format."""
+    sets = [PUNCTUATION if marks and c in PUNCTUATION else alphabet(c) for c in value[keep:]]
     total, x = 1, 0
-    for kind in kinds:
-        if kind:
-            x, total = x * len(kind[0]) + kind[1], total * len(kind[0])
-    form = "".join(c if kind is None else str(ALPHABETS.index(kind[0])) for c, kind in zip(value, kinds, strict=True))
+    for c, own in zip(value[keep:], sets, strict=True):
+        x, total = x * len(own) + own.index(c), total * len(own)
+    form = value[:keep] + "".join(own[0] for own in sets)
     y, out = permute(x, total, key, f"{tweak}|{form}"), []
-    for c, kind in zip(reversed(value), reversed(kinds), strict=True):
-        if kind:
-            y, k = divmod(y, len(kind[0]))
-            c = kind[0][k]
-        out.append(c)
-    return "".join(reversed(out))
+    for own in reversed(sets):
+        y, k = divmod(y, len(own))
+        out.append(own[k])
+    return value[:keep] + "".join(reversed(out))
 
 
 def luhn(digits: str) -> int:
@@ -125,6 +153,26 @@ def ip(value: str, key: bytes, tweak: str) -> str:
     return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
 
+def ip6(value: str, key: bytes, tweak: str) -> str:
+    """Groups of the same number of digits, in the case of the first letter; the place of :: stays."""
+    upper = any(c in "ABCDEF" for c in value)
+    digits = [c for c in value.lower() if c != ":"]
+    form = re.sub("[0-9a-f]", "h", value.lower())
+    new = iter(format(permute(int("".join(digits), 16), 16 ** len(digits), key, f"{tweak}|{form}|{upper}"), f"0{len(digits)}x"))
+    out = "".join(c if c == ":" else next(new) for c in value)
+    return out.upper() if upper else out
+
+
+def iban(value: str, key: bytes, tweak: str) -> str:
+    """Keeps country, spaces, and what the number leaves when divided by 97: 1 for right check digits."""
+    out = scramble(value, key, tweak, keep=4)
+    if not 2 <= int(value[2:4]) <= 98:  # no check digits are like that; they stay
+        return out
+    number = lambda v: int("".join(str(int(c, 36)) for c in re.sub(" ", "", v[4:] + v[:4])))
+    check = (number(value) - number(out[:2] + "00" + out[4:])) % 97
+    return f"{out[:2]}{check + 97 * (check < 2):02d}{out[4:]}"
+
+
 def email(value: str, key: bytes, tweak: str) -> str:
     """Local part and domain in their format; the top-level domain stays."""
     head, dot, top = value.rpartition(".")
@@ -132,20 +180,12 @@ def email(value: str, key: bytes, tweak: str) -> str:
 
 
 def secret(value: str, key: bytes, tweak: str) -> str:
-    """A hexadecimal value stays hexadecimal; a known prefix stays."""
+    """A hexadecimal value stays hexadecimal; a known prefix stays. With fewer than FEW letters or digits its marks
+    become others too."""
     if re.fullmatch(r"[0-9a-f]+", value):
         return format(permute(int(value, 16), 16 ** len(value), key, f"{tweak}|hex{len(value)}"), f"0{len(value)}x")
     prefix = re.match(r"AKIA|gh[pousr]_|sk-", value)
-    return scramble(value, key, tweak, keep=prefix.end() if prefix else 0)
-
-
-def cycle(n: int, key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of 0 .. n - 1 that is one cycle, so that nothing stays in place."""
-    at = list(range(n))
-    for i in range(n - 1, 0, -1):
-        j = int.from_bytes(hashlib.blake2b(f"{tweak}|{i}".encode(), key=key, digest_size=8).digest(), "big") % i
-        at[i], at[j] = at[j], at[i]
-    return at
+    return scramble(value, key, tweak, prefix.end() if prefix else 0, sum(len(alphabet(c)) > 1 for c in value) < FEW)
 
 
 def _place(value: str) -> tuple[object, int, int, str] | None:
@@ -182,20 +222,27 @@ def person(value: str, key: bytes, tweak: str) -> str:
 
 MAKE: dict[str, Callable[[str, bytes, str], str]] = {
     "email": email, "secret": secret, "card": card, "ip": ip, "given": person, "family": person,
-    "iban": lambda v, k, t: scramble(v, k, t, keep=4), "ssn": scramble, "phone": lambda v, k, t: scramble(v, k, t, keep=len(re.match(r"(?:\+\d{1,3}(?=\D))?", v)[0])),
+    "iban": iban, "ip6": ip6, "ssn": scramble, "phone": lambda v, k, t: scramble(v, k, t, keep=len(re.match(r"(?:\+\d{1,3}(?=\D))?", v)[0])),
 }
 
 
+def surrogate(kind: str, value: str, key: bytes) -> str:
+    """What stands for a value. One without a character that could become another gets keyed hexadecimal digits."""
+    new = MAKE[kind](value, key, kind)
+    return new if new != value else hashlib.blake2b(value.encode(), key=key, digest_size=max(8, min(64, len(value) // 2))).hexdigest()
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, type), by start; of two that overlap the earlier rule's stays."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # kept in order
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= s or start >= e for s, e, _ in found):
-            found.append((start, end, kind))
+        k = bisect.bisect(found, (start, end, kind))
+        if (k == 0 or found[k - 1][1] <= start) and (k == len(found) or found[k][0] >= end):
+            found.insert(k, (start, end, kind))
 
-    low = text.lower() if len(text) < 1 << 16 else text
-    if any(h in low for h in HINTS) or low is text:
+    low = text.lower()
+    if any(h in low for h in HINTS):
         for m in SECRET.finditer(text):
             add(*m.span("v" if m["v"] else "w"), "secret")
     if "@" in text:
@@ -206,33 +253,18 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             digits = sum(c.isdigit() for c in m[0])
             if m.lastgroup != "phone" or 7 <= digits <= 15:
                 add(*m.span(m.lastgroup), m.lastgroup)
+    if "::" in text or text.count(":") >= 7:
+        for m in IP6.finditer(text):
+            if sum(c != ":" for c in m[0]) >= 4 and any(c.isdigit() for c in m[0]):
+                add(*m.span(), "ip6")
     for m in NAMED.finditer(text):
-        if m["title"]:
-            if m["b"]:
-                add(*m.span("a"), "given")
-                add(*m.span("b"), "family")
-            else:
-                add(*m.span("a"), "family")
-        else:
-            add(*m.span("given"), "given")
-            add(*m.span("family"), "family")
-    return sorted(found)
-
-
-def free(kind: str, value: str, key: bytes, busy: set[tuple[str, str]]) -> str:
-    """The first surrogate along the permutation that isn't busy. One that comes back to its start has none free: then
-    another permutation, or one of a longer format, goes on."""
-    start, tweak = value, kind
-    new = MAKE[kind](value, key, tweak)
-    while new == start or (kind, new) in busy:
-        if new == start:
-            if kind in LONGER:
-                start = LONGER[kind](start)
-            else:
-                tweak += "|again"
-            new = start
-        new = MAKE[kind](new, key, tweak)
-    return new
+        if m["title"] and not m["b"]:
+            add(*m.span("a"), "family")
+            continue
+        given, family = ("a", "b") if m["title"] else ("given", "family") if m["given"] else ("first", "last")
+        add(*m.span(given), "given")
+        add(*m.span(family), "family")
+    return found
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -240,16 +272,12 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]
     found = detect(text)
     if not found:
         return text, []
-    busy = {(kind, text[s:e]) for s, e, kind in found}
-    taken: dict[tuple[str, str], str] = {}
-    for s, e, kind in found:
-        at = (kind, text[s:e])
-        if at not in taken:
-            taken[at] = free(kind, at[1], key, busy)
-            busy.add((kind, taken[at]))
+    made = {(kind, text[s:e]): "" for s, e, kind in found}
+    for kind, value in made:
+        made[kind, value] = surrogate(kind, value, key)
     out, last, spans = [], 0, []
     for s, e, kind in found:
-        new = taken[kind, text[s:e]]
+        new = made[kind, text[s:e]]
         out += [text[last:s], new]
         spans.append((s, e, kind, new))
         last = e
