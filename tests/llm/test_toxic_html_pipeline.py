@@ -100,6 +100,56 @@ def test_surge_and_dive_decide_beside_and_in_an_article():
     assert len(maintext.main_text(f"<article>{paragraphs}<p>And one more to hold most of all.</p><p>{text[0]}</p></article>{more}").split("\n")) == 26
 
 
+@pytest.mark.parametrize("html", ['<a href="' * 8000, '<a href="x' * 8001, "<!--" * 20000, "<a '" * 20000 + ">", "<" * 50000, "<p>" * 50000, "<object>" * 20000, "<![CDATA[" * 20000, "&amp" * 50000, "<p>" + "word " * 400000])
+def test_broken_and_long_pages_take_little_time(html):
+    import time
+
+    began = time.perf_counter()
+    maintext.main_text(html + "<p>end")
+    assert time.perf_counter() - began < 5
+
+
+def _page(rng, article: str, marked: bool):
+    """A page and its main blocks. marked: menus and the like stand in elements and classes that say so."""
+    words = lambda n: " ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(2, 9))) for _ in range(n))
+    title, blocks = words(6).capitalize(), [words(rng.randint(15, 60)) + "." for _ in range(rng.randint(3, 12))]
+    blocks.insert(rng.randrange(1, len(blocks)), words(3))  # a short line in the text
+    menu = "".join(f"<li><a href='/{k}'>{words(rng.randint(1, 3))}</a></li>" for k in range(rng.randint(4, 15)))
+    more = "".join(f"<li><a href='/r{k}'>{words(8)}</a></li>" for k in range(6))
+    note = "".join(f"<div>{words(2)}</div>" for _ in range(4))
+    tag = lambda name, inner: f"<{name}>{inner}</{name.split()[0]}>" if marked else f"<div>{inner}</div>"
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    html = tag("nav", f"<ul>{menu}</ul>") + tag("div class='notice'", note) + f"<{article}><h1>{title}</h1>{body}</{article}>"
+    html += tag("aside", f"<ul>{more}</ul>") + tag("div class='comments'", "".join(f"<p>{words(4)}</p>" for _ in range(3)) if marked else "") + tag("footer", note)
+    return f"<html><head><title>{title}</title></head><body>{html}</body></html>", [title, *blocks]
+
+
+@pytest.mark.parametrize(("article", "marked", "precision"), [("article", True, 1.0), ("div", True, 1.0), ("article", False, 0.99), ("div", False, 0.95)])
+def test_labelled_pages(article, marked, precision):
+    import random
+    from collections import Counter
+
+    rng, hit, got, want = random.Random(6), 0, 0, 0
+    for _ in range(150):
+        html, blocks = _page(rng, article, marked)
+        found, true = Counter(maintext.main_text(html).split()), Counter(" ".join(blocks).split())
+        hit, got, want = hit + (found & true).total(), got + found.total(), want + true.total()
+    assert hit / got >= precision and hit / want >= 0.99
+
+
+def test_the_distribution_changes_results():
+    """The same lines without windows, surges and dives would be the stripped page, whose small lines the method drops."""
+    import random
+
+    rng, changed = random.Random(7), 0
+    for _ in range(60):
+        html, blocks = _page(rng, "div", False)
+        stripped = "\n".join(t for t, off, *_ in maintext.lines(html) if not off)
+        changed += maintext.main_text(html) != stripped
+        assert maintext.main_text(html, surge=10**9, window=1).count("\n") <= stripped.count("\n")
+    assert changed == 60
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = maintext.extract(pages).collect()

@@ -22,6 +22,7 @@ WINDOW, SURGE = 3, 86
 
 # Elements by what they are to a reader.
 RAW = frozenset("script style noscript template svg math textarea select iframe object canvas audio video head title option datalist".split())
+CODE = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -32,21 +33,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist reply replies disqus respond discussion footer masthead topbar toolbar share sharing social related recommended recommendations login search pagination pager skip copyright legal disclaimer tracking".split()
 )
+#: What may stand beside such a word in a class or id, as in `site-footer` or `comment-list-2`; any other word, as in
+#: `side-effects`, makes it a name of its own.
+BESIDE = frozenset(
+    "a area article articles bar bars blog body bottom box boxes btn button buttons column container content desktop entry floating form global group head holder icon icons inner item items js left link links list lists main message messages mobile module news outer page pages panel post posts primary region right row secondary section site slot sticky stories story tag tags text thread title top unit user w wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Elements whose start ends an open one of the second kind, unless one of the third stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z",
-    re.S,
-)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"[>\"']")
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 GAP = re.compile(r"\s+")
 
 
+def _names(value: str) -> Iterator[set[str]]:
+    """The words of each class or id in an attribute's value."""
+    for name in value.split():
+        yield {w.lower() for w in PIECE.findall(name)}
+
+
 def _chrome(tag: str, attrs: str, inside: bool) -> bool:
     """Whether the element isn't main text; inside: it stands in the article, whose own header is."""
     if tag in CHROME or tag == "header" and not inside:
@@ -59,15 +67,78 @@ def _chrome(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES and not (value.lower() == "banner" and inside):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = {w.lower() for w in PIECE.findall(value)}
-            if words & WORDS or "header" in words and not inside and tag != "h1":
+        if name not in ("class", "id") or tag in ("body", "html", "main"):
+            continue
+        for words in _names(value):
+            if tag == "article":
+                if words & {"comment", "comments", "reply", "ad", "ads", "related", "teaser"}:
+                    return True
+            elif "header" in words and not inside and tag not in HEADINGS or words & WORDS and not {w for w in words - WORDS - BESIDE if not w.isdigit()}:
                 return True
-        elif name in ("class", "id") and tag == "article" and {w.lower() for w in PIECE.findall(value)} & {"comment", "comments", "reply", "ad", "ads", "related", "teaser"}:
-            return True
     return False
 
 
+def _behind(html: str, tag: str, at: int, unclosed: set[str]) -> int:
+    """Where the page goes on behind an element whose content isn't read. One that is never closed is only its tag, so
+    that nothing after it is lost; but code runs to the page's end. A head ends at the body, an option at its list's end."""
+    if tag in unclosed:
+        return at
+    more = {"option": "|</select|<option\\b", "head": "|<body\\b"}.get(tag, "")
+    end = re.compile(rf"</{tag}\s*>{more}", re.I).search(html, at)
+    if not end:
+        unclosed.add(tag)
+        return len(html) if tag in CODE else at
+    return end.end() if end[0].lower().startswith(f"</{tag}") else end.start()
+
+
+class Scanner:
+    """Markup of a page, in turn. Each character is looked at a bounded number of times, however broken the markup is:
+    what was sought once and isn't there is not sought again."""
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, {}
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of `what`, or -1."""
+        if at >= self.gone.get(what, len(self.html) + 1):
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.gone[what] = at
+        return k
+
+    def end(self, at: int) -> int:
+        """Behind the > that ends the tag whose attributes begin at `at`, or -1. A quote that is never closed is an
+        ordinary character."""
+        while m := QUOTE.search(self.html, at) if self.find(">", at) >= 0 else None:
+            if m[0] == ">":
+                return m.end()
+            at = self.find(m[0], m.end()) + 1 or m.end()
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name, whether it closes, attributes of the next tag from `at` on; with an empty name a comment,
+        a declaration or a tag cut off by the page's end."""
+        while (k := self.find("<", at)) >= 0:
+            html = self.html
+            if html.startswith("<!--", k):
+                stop = self.find("-->", k + 4)
+                return k, stop + 3 if stop >= 0 else self.find(">", k) + 1 or len(html), "", False, ""
+            if html.startswith("<![CDATA[", k):
+                return k, self.find("]]>", k) + 3 if self.find("]]>", k) >= 0 else self.find(">", k) + 1 or len(html), "", False, ""
+            m = NAME.match(html, k + 1)
+            if m:
+                stop = self.end(m.end())
+                if stop >= 0:
+                    return k, stop, m[1].lower(), html[k + 1] == "/", html[m.end() : stop - 1]
+                if self.find("<", k + 1) < 0:
+                    return k, len(html), "", False, ""
+            elif html[k + 1 : k + 2] in ("!", "?", "/"):
+                return k, self.find(">", k) + 1 or len(html), "", False, ""
+            at = k + 1
+        return None
+
+
 def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
     """The blocks of text in page order: text, whether it stands in the page's surroundings, whether in an article, how
     many of its characters are in links, and whether it is a heading."""
@@ -76,6 +147,7 @@ def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     links = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, linked
@@ -95,21 +167,21 @@ def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
                 return False
         return False
 
-    at = 0
+    scan, at, begin = Scanner(html), 0, 0
     while True:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else len(html)]
+        found = scan.next(at)
+        text = html[begin : found[0] if found else len(html)]
         if text:
             parts.append(text)
             if links:
                 linked.append(text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m["tag"]:
+        _, at, tag, closes, attrs = found
+        begin = at
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        if closes:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -117,9 +189,8 @@ def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
                 close({tag})
             continue
         if tag in RAW:
-            if not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" if tag not in ("option", "head") else rf"</{tag}\s*>|<body\b|</select", re.I).search(html, at)
-                at = (end.end() if end.group().startswith("</") else end.start()) if end else len(html)
+            if not attrs.endswith("/"):
+                at = begin = _behind(html, tag, at, unclosed)
             continue
         if tag == "a":
             links = 1
@@ -132,7 +203,7 @@ def lines(html: str) -> list[tuple[str, bool, bool, int, bool]]:
         if tag in ENDS:
             close(*ENDS[tag])
         _, off, inside = stack[-1] if stack else ("", False, False)
-        off = off or _chrome(tag, m["attrs"], inside)
+        off = off or _chrome(tag, attrs, inside)
         stack.append((tag, off, inside or (tag in CONTENT and not off)))
         links = 0
     flush()
