@@ -112,3 +112,34 @@ def test_mixture_finds_both_languages():
     assert chosen[0][0] == pytest.approx(2 / 3, abs=0.03) and chosen[0][1] == pytest.approx(1 / 3, abs=0.03)
     one, _ = model.mixture(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]))
     assert one[0].tolist() == [1, 0]
+
+
+def _toy(languages=5, buckets=40, seed=1):
+    rng = np.random.default_rng(seed)
+    return language.Model([f"l{k}" for k in range(languages)], rng.dirichlet(np.full(buckets, 0.15), languages).T.astype(np.float32) + 1e-4)
+
+
+def test_chosen_sets_equal_a_search_of_all_sets(monkeypatch):
+    """Expectation-maximisation over every subset of five languages, by hand; the chosen set has the best value."""
+    import itertools
+
+    model, rng = _toy(), np.random.default_rng(5)
+    truth = [s for size in (1, 2, 3, 4, 5) for s in itertools.islice(itertools.combinations(range(5), size), 4)]
+    counts = [rng.multinomial(3000, (model.p[:, list(s)] / model.p.sum(0)[list(s)]).mean(1) / (model.p[:, list(s)] / model.p.sum(0)[list(s)]).mean(1).sum()) for s in truth]
+    row = np.concatenate([np.full(np.count_nonzero(c), k) for k, c in enumerate(counts)])
+    monkeypatch.setattr(language, "grams", lambda data, offsets: (row, np.concatenate([np.flatnonzero(c) for c in counts]), np.concatenate([c[c > 0] for c in counts])))
+    chosen, _ = model.mixture(np.zeros(0, np.uint8), np.zeros(len(truth) + 1, np.int64))
+
+    def value(c, pick):
+        pi, p = np.full(len(pick), 1 / len(pick)), model.p[:, list(pick)].astype(float)
+        for _ in range(300):
+            part = p * pi
+            pi = (c[:, None] * part / part.sum(1, keepdims=True)).sum(0) / c.sum()
+        return float((c * np.log((p * pi).sum(1))).sum()) - language.PENALTY * (len(pick) - 1) * np.log(c.sum()), pi
+
+    for k, (c, want) in enumerate(zip(counts, truth, strict=True)):
+        values = {s: value(c, s) for size in range(1, 6) for s in itertools.combinations(range(5), size)}
+        best = max(values, key=lambda s: values[s][0])
+        got = tuple(np.flatnonzero(chosen[k] > 0).tolist())
+        assert got == best == want
+        assert chosen[k][list(best)] == pytest.approx(values[best][1], abs=0.03)

@@ -1,9 +1,10 @@
 """Language identification as a mixture: expectation-maximisation over n-gram likelihoods of each document.
 
 Each language is a distribution over hashed byte trigrams of letters, smoothed towards the mean of all. A document's
-trigrams are a mixture of languages; expectation-maximisation finds its proportions. Candidate sets are the languages
-with the largest proportions, one, two, ... MOST of them; each is fitted again, and the set with the best likelihood
-less PENALTY * log(trigrams) for each language after the first is taken. All documents of a slice are fitted together.
+trigrams are a mixture of languages; expectation-maximisation finds its proportions. The set of languages grows from the
+one with the largest proportion by the next largest, is fitted again each time, and goes on growing, up to all languages,
+while the likelihood less PENALTY * log(trigrams) for each language after the first rises. All documents of a slice are
+fitted together.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import common
 
-BITS, STEPS, MOST, PENALTY, SMOOTH = 14, 12, 3, 2.0, 0.5
+BITS, STEPS, PENALTY, SMOOTH = 14, 12, 2.0, 0.5
 SLICE = 1 << 19
 #: Letters keep their place; other ASCII is one gap; bytes of longer characters stay.
 FOLD = np.where(np.arange(256) >= 0x80, np.arange(256), 0).astype(np.uint8)
@@ -76,27 +77,33 @@ class Model:
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         seen = row[at]
         inner = np.repeat(np.arange(len(seen)), np.diff(np.append(at, len(row))))
-        total = np.add.reduceat(n, at)
 
-        def fit(pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        def fit(pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            total = np.add.reduceat(n, at)
             for _ in range(steps):
                 part = like * pi[inner]
                 part *= (n / part.sum(1))[:, None]
                 pi = np.add.reduceat(part, at) / total[:, None]
             mix = (like * pi[inner]).sum(1)
-            return pi, np.add.reduceat(n * np.log(np.maximum(mix, 1e-30)), at)
+            return pi, np.add.reduceat(n * np.log(np.maximum(mix, 1e-30)), at), np.log(total)
 
-        pi, _ = fit(np.full((len(seen), k), 1 / k, np.float32), STEPS)
+        pi, _, _ = fit(np.full((len(seen), k), 1 / k, np.float32), STEPS)
         order = np.argsort(-pi, axis=1, kind="stable")
-        best, kept = np.full(len(seen), -np.inf), np.zeros_like(pi)
-        for size in range(1, min(MOST, k) + 1):
-            mask = np.zeros_like(pi)
-            np.put_along_axis(mask, order[:, :size], 1, axis=1)
-            start = pi * mask + 1e-6 * mask
-            own, ll = fit((start / start.sum(1, keepdims=True)).astype(np.float32), 1 if size == 1 else STEPS // 2)
-            value = ll - PENALTY * (size - 1) * np.log(total)
-            better = value > best
-            best[better], kept[better] = value[better], own[better]
+        best, kept, open_ = np.full(len(seen), -np.inf), np.zeros_like(pi), np.arange(len(seen))
+        for size in range(1, k + 1):
+            mask = np.zeros((len(open_), k), pi.dtype)
+            np.put_along_axis(mask, order[open_, :size], 1, axis=1)
+            start = pi[open_] * mask + 1e-6 * mask
+            own, ll, log_n = fit((start / start.sum(1, keepdims=True)).astype(np.float32), 1 if size == 1 else STEPS)
+            value = ll - PENALTY * (size - 1) * log_n
+            better = value > best[open_]
+            best[open_[better]], kept[open_[better]] = value[better], own[better]
+            if not better.any():
+                break
+            on = better[inner]  # documents that go on
+            like, n, inner = like[on], n[on], np.cumsum(better)[inner[on]] - 1
+            at = np.flatnonzero(np.concatenate([[True], inner[1:] != inner[:-1]]))
+            open_ = open_[better]
         chosen[seen], free[seen] = kept, pi
         return chosen, free
 
@@ -163,8 +170,8 @@ def _predict(model: Model):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the share of lang_pred among all languages), languages (the chosen set with shares) of
-    each row of docs(doc_id, text, ...). A text that is null or has no letter is `und` with score 0 and no languages.
+    """doc_id, lang_pred (the largest share of the chosen set; of equal ones the first in code point order), score (the
+    share of lang_pred among all languages), languages (the chosen set with shares) of each row of docs(doc_id, text, ...). A text that is null or has no letter is `und` with score 0 and no languages.
     Repeated rows each get a row; other columns are ignored; no rows give none."""
     schema = "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(model), schema)
