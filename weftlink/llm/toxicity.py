@@ -10,7 +10,7 @@ token and one power of that matrix for each run, at any document length.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from weftlink.llm.common import held_out
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Labelled documents of each class that the field is fitted to (the first in the order of a hash of doc_id), and
-#: candidate words. These bound what reaches the driver.
-SAMPLE, LEXICON = 4000, 3000
+#: Labelled documents of each class that the field is fitted to: the first in the order of a hash of doc_id. They bound
+#: what reaches the driver: features that three toxic ones hold at least, and those documents' places of them.
+SAMPLE = 4000
 WINDOW = 6
 
 
@@ -83,11 +83,14 @@ class Field:
         return float(1 / (1 + np.exp(-(self.scale * np.log((some + 1e-4) / (1 - some + 1e-4)) + self.shift))))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, words: int, steps: int = 150, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, words: int, steps: int = 150, l2: float = 0.05, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Emission and transition weights by gradient ascent of the conditional likelihood of labelled windows.
 
-    x: word ids, y: labels, mask: which cells are tokens; windows are rows, padded on the right.
+    x: word ids, y: labels, mask: which cells are tokens; windows are rows, padded on the right; times: how often each
+    comes (once).
     """
+    times = np.ones(len(x)) if times is None else times
+    each = np.broadcast_to(times[:, None], x.shape)
     emit, trans = np.zeros(words), np.zeros((2, 2))
     emit[0] = -2.0
     n, length = x.shape
@@ -106,16 +109,16 @@ def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, words: int, steps:
             beta[:, k] = np.where(mask[:, k + 1, None], step, beta[:, k + 1])
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None, None]
         p = np.exp(alpha + beta - z)
-        g_emit = np.bincount(x[mask], (y - p[..., 1])[mask], words) - l2 * emit
+        g_emit = np.bincount(x[mask], (each * (y - p[..., 1]))[mask], words) - l2 * emit
         g_trans = -l2 * trans
-        g_trans[0] += [((1 - y[:, 0]) - p[:, 0, 0]).sum(), (y[:, 0] - p[:, 0, 1]).sum()]
+        g_trans[0] += [(times * ((1 - y[:, 0]) - p[:, 0, 0])).sum(), (times * (y[:, 0] - p[:, 0, 1])).sum()]
         for k in range(1, length):
             on = mask[:, k]
             pair = np.exp(alpha[on, k - 1, :, None] + trans + (e + beta)[on, k, None, :] - z[on])
             for a in (0, 1):
                 for b in (0, 1):
-                    g_trans[a, b] += ((y[on, k - 1] == a) & (y[on, k] == b)).sum() - pair[:, a, b].sum()
-        g = np.concatenate([g_emit, g_trans.ravel()]) / n
+                    g_trans[a, b] += (times[on] * (((y[on, k - 1] == a) & (y[on, k] == b)) - pair[:, a, b])).sum()
+        g = np.concatenate([g_emit, g_trans.ravel()]) / times.sum()
         memory[0] = 0.9 * memory[0] + 0.1 * g
         memory[1] = 0.99 * memory[1] + 0.01 * g * g
         move = 0.2 * (memory[0] / (1 - 0.9**t)) / (np.sqrt(memory[1] / (1 - 0.99**t)) + 1e-8)
@@ -196,14 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     if not n.get(0) or not n.get(1):
         return Field({}, np.array([-5.0]), np.zeros((2, 2)))
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(n[1] + 0.5) - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (F.lit(n[0] + 0.5) - F.col("clean")))
-    top = counts.where("toxic >= 3").withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), F.desc(F.length("word")), "word").limit(LEXICON).collect()
+    top = counts.where("toxic >= 3").withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), F.desc(F.length("word")), "word").collect()
     tried = {r["word"]: k for k, r in enumerate(top, 1)}
     strength = np.array([0.0] + [r["odds"] for r in top])
     rows = texts.mapInArrow(_occurrences(tried), "toxic int, ids array<int>, at array<int>, n int").collect()
     offending = explain(rows, len(tried) + 1, strength)
     final = {k: i for i, k in enumerate(sorted(offending), 1)}
     index = {w: final[k] for w, k in tried.items() if k in final}
-    x, y = [], []
+    windows: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # the same windows count together
     lengths = {k: len(w) + (not w.endswith("*")) for w, k in tried.items()}
     compact = []
     for r in rows:
@@ -213,16 +216,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 word[k] = i
         word = {k: final[i] for k, i in word.items()}
         compact.append((sorted(word), [word[k] for k in sorted(word)], r["n"]))
-        for k in sorted(word)[:50] or [r["n"] // 2]:  # windows of one document that the fit looks at
-            span = range(max(0, k - WINDOW), min(r["n"], k + WINDOW + 1))
-            if span:
-                ids = [word.get(i, 0) for i in span]
-                x.append(ids)
-                y.append([int(bool(r["toxic"]) and i > 0) for i in ids])
+        for k in sorted(word) or [r["n"] // 2]:
+            ids = tuple(word.get(i, 0) for i in range(max(0, k - WINDOW), min(r["n"], k + WINDOW + 1)))
+            if ids:
+                windows[ids, tuple(int(bool(r["toxic"]) and i > 0) for i in ids)] += 1
     width = 2 * WINDOW + 1
-    mask = np.array([[k < len(r) for k in range(width)] for r in x])
-    pad = lambda rows: np.array([r + [0] * (width - len(r)) for r in rows])
-    field = Field(index, *fit_chain(pad(x), pad(y), mask, len(index) + 1))
+    seen = sorted(windows)
+    if not seen:
+        return Field({}, np.array([-5.0]), np.zeros((2, 2)))
+    mask = np.array([[k < len(ids) for k in range(width)] for ids, _ in seen])
+    pad = lambda side: np.array([w[side] + (0,) * (width - len(w[side])) for w in seen])
+    field = Field(index, *fit_chain(pad(0), pad(1), mask, len(index) + 1, times=np.array([windows[w] for w in seen], float)))
     some = np.array([1 - np.prod(1 - np.clip(field.marginals(ids, at, n), 0, 1 - 1e-9)) if ids else 0.0 for at, ids, n in compact])
     z, t = np.log((some + 1e-4) / (1 - some + 1e-4)), np.array([float(r["toxic"]) for r in rows])
     weight = np.where(t == 1, 1.0, n[1] / n[0] if n[1] > n[0] else 1.0)
