@@ -284,7 +284,7 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]
     return "".join([*out, text[last:]]), spans
 
 
-def _replace(key: bytes):
+def _replace(key: bytes, column: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string()), ("surrogate", pa.string())]))
         for batch in batches:
@@ -293,23 +293,24 @@ def _replace(key: bytes):
                 new, found = (None, []) if text is None else replace(text, key)
                 texts.append(new)
                 spans.append([dict(zip(("start", "end", "type", "surrogate"), f, strict=True)) for f in found])
-            got = {"text": pa.array(texts, pa.string()), "entities": pa.array(spans, kind)}
-            names = [*batch.schema.names, "entities"]
+            got = {"text": pa.array(texts, pa.string())} | ({column: pa.array(spans, kind)} if column else {})
+            names = [*batch.schema.names, *([column] if column else [])]
             yield pa.RecordBatch.from_arrays([got.get(n) if n in got else batch.column(n) for n in names], names)
 
     return run
 
 
-def surrogates(docs: DataFrame, key: bytes = b"demonstration key") -> DataFrame:
-    """docs(doc_id, text, ...) with text replaced and entities added: array of start, end (code points of the original
-    text), type, surrogate. Originals are in no column. Other columns pass through, but an own column `entities` is
-    replaced. A null text stays null; an empty one, one without an entity, and repeated rows stay as they are.
+def surrogates(docs: DataFrame, key: bytes = b"demonstration key", column: str | None = "entities") -> DataFrame:
+    """docs(doc_id, text, ...) with text replaced and a column of entities added, none if it has no name: array of start,
+    end (code points of the original text), type, surrogate. Originals are in no column. Other columns pass through, but
+    an own column of that name is replaced. A null text stays null; an empty one and one without an entity stay as they
+    are; repeated rows each get a row; no rows give none.
     """
-    rest = [c for c in docs.columns if c.lower() != "entities"]
+    rest = [c for c in docs.columns if not column or c.lower() != column.lower()]
     kept = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in rest])
     entity = T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("type", T.StringType()).add("surrogate", T.StringType())
-    schema = T.StructType([*kept.schema.fields, T.StructField("entities", T.ArrayType(entity))])
-    return kept.mapInArrow(_replace(key), schema)
+    schema = T.StructType([*kept.schema.fields, *([T.StructField(column, T.ArrayType(entity))] if column else [])])
+    return kept.mapInArrow(_replace(key, column), schema)
 
 
 def collisions(found: DataFrame, originals: DataFrame) -> DataFrame:
