@@ -16,29 +16,51 @@ from weftlink.llm.common import Scratch, table
 from weftlink.llm.registry import tokenizer_path
 
 
+def _same(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out with the columns of docs, of whatever names."""
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the tagger, fitted to labels, calls toxic."""
+    """Without the documents that the tagger, fitted to labels, calls toxic.
+
+    Null and empty texts stay, as do rows with a null doc_id that aren't toxic; repeated rows share their fate. Ties:
+    a score of exactly one half is toxic. No rows give none; other columns pass through.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id."""
+    """Of each group of near duplicates, the document with the least id.
+
+    Null and empty texts, and rows with a null doc_id, are in no group and stay. Rows that repeat a doc_id are one
+    document: they stay or go together. No rows give none; other columns pass through.
+    """
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _same(docs.join(gone, "doc_id", "left_anti"), docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars counts the new text."""
-    return surrogates.surrogates(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, personal data replaced by surrogates; n_chars, where docs has it, counts the new text (null for a
+    null text). Rows without an entity, empty texts, repeated rows, null ids and other columns stay as they are."""
+    return _same(surrogates.surrogates(docs, column=None).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to source weights draws them."""
+    """Documents as often as the mix to source weights draws them.
+
+    A null source is a source of its own. Documents of a block are drawn together, so repeated rows and ties are; null
+    and empty texts weigh nothing and come with their block. No rows give none; other columns pass through.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, with their token ids."""
+    """Pieces of training sequences, with their token ids.
+
+    A null or empty text is one id; rows are packed as often as they come; a null doc_id stays null. No rows give none;
+    other columns are ignored.
+    """
     return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
