@@ -163,9 +163,9 @@ def _likely(threshold: float):
     return run
 
 
-def _screen(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _screen(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose estimated similarity, or whose ratio of set sizes, leaves the threshold possible."""
-    side = lambda k: classes.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     return both.mapInArrow(_likely(threshold), "a long, b long")
 
@@ -193,12 +193,12 @@ def _verify(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs of which 100 * intersection >= percent * union holds on the full shingle sets.
 
     A leader's text goes once to each group of at most about PER_TASK of its partners.
     """
-    texts = docs.select("doc_id", "text")
+    texts = reps.select("doc_id", "text").hint("merge")
     sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).alias("salts")), "a")
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     right = salted.join(texts, salted.b == texts.doc_id).select(F.col("a").alias("ra"), F.col("salt").alias("rsalt"), "b", F.col("text").alias("rtext"))
@@ -336,13 +336,12 @@ def _blocks(members: DataFrame, columns: list[str]):
     return left.groupBy(*place).cogroup(right.groupBy(*[f"r_{c}" for c in place]))
 
 
-def _joining_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, store: common.Scratch) -> DataFrame:
+def _joining_links(members: DataFrame, reps: DataFrame, percent: int, store: common.Scratch) -> DataFrame:
     """Round 3 over members(key, band, doc_id, component, n): sketches show who has a candidate in which bucket, and only
     those members' texts meet there."""
-    sketched = members.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    sketched = members.join(reps.select("doc_id", "n_shingles", "sketch").hint("merge"), "doc_id")
     seen = store.keep(_blocks(sketched, ["n_shingles", "sketch"]).applyInArrow(_sight(percent), "key long, doc_id long").distinct(), "seen")
-    texts = docs.join(seen.select("doc_id").distinct(), "doc_id", "left_semi")
-    there = members.join(seen, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+    there = members.join(seen, ["key", "doc_id"], "left_semi").join(reps.select("doc_id", "text").hint("merge"), "doc_id")
     return _blocks(there, ["text"]).applyInArrow(_meet(percent), "a long, b long").distinct()
 
 
@@ -363,17 +362,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = store.keep(full.groupBy(*by).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
     shared = store.keep(_shared(bands(classes)), "shared")
     meeting = shared.select("doc_id").distinct()  # representatives of classes that share a band with another
-    reps = store.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(meeting, "doc_id", "left_semi"), "texts")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = classes.select("doc_id", "n_shingles", "sketch").join(meeting.hint("merge"), "doc_id", "left_semi")
+    reps = store.keep(known.join(texts.hint("merge"), "doc_id"), "texts")  # joins of texts are the same at any size
     tried = store.keep(_first_pairs(shared), "tried")
-    links = store.keep(confirm(_screen(tried, classes, threshold), reps, percent), "links")
+    links = store.keep(confirm(_screen(tried, reps, threshold), reps, percent), "links")
     named = _joined(meeting.select("doc_id", F.col("doc_id").alias("component")), links, store, "first")
 
     split = store.keep(_split(shared.join(named, "doc_id")), "split")
-    links = store.keep(confirm(_screen(_second_pairs(split, tried), classes, threshold), reps, percent), "more-links")
+    links = store.keep(confirm(_screen(_second_pairs(split, tried), reps, threshold), reps, percent), "more-links")
     named = _joined(named, links, store, "second")
 
     members = store.keep(_split(split.drop("component").where(F.col("n") > SETTLED).join(named, "doc_id")), "members")
-    named = _joined(named, _joining_links(members, classes, reps, percent, store), store, "last")
+    named = _joined(named, _joining_links(members, reps, percent, store), store, "last")
+    for name in ("shared", "texts", "tried", "links", "split", "more-links", "members"):
+        store.drop(name)
 
     facts = classes.join(named, "doc_id", "left").select(*by, F.coalesce("component", "doc_id").alias("component"))
     out = sig.drop("sketch").join(facts, by, "left")
