@@ -24,7 +24,7 @@ from weftlink.llm.common import Scratch
 CAP, SEED = 3, 20260925
 #: Words of a shard and of one of its runs; blocks of a source for each shard; shards and blocks at least; numbers that the
 #: driver holds at most, by sources times shards: with more sources shards grow, and have more runs.
-SHARD_WORDS, RUN_WORDS, BLOCKS_EACH, SHARDS, BLOCKS, MOST_ENDS = 1 << 27, 1 << 21, 16, 16, 1024, 1 << 20
+SHARD_WORDS, RUN_WORDS, BLOCKS_EACH, SHARDS, BLOCKS, MOST_ENDS = 1 << 27, 1 << 18, 16, 16, 1024, 1 << 20
 #: Blocks before and behind the end of a partial pass that subset sums choose from; sums that are told apart.
 CHOICE, SUMS = 64, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
