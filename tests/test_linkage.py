@@ -111,7 +111,7 @@ def test_candidates_reach_every_match(records, truth):
     report = blocking.report(q, t, found, splits.truth_pairs(truth)).first()
     assert report.pair_recall == 1 and report.zero_candidate_queries == 1
     both = features.pair_features(blocking.merge_evidence(found, top), q, t)
-    assert both.columns[3:] == features.FEATURES and len(features.FEATURES) == 42
+    assert tuple(both.columns[3:]) == features.FEATURES and len(features.FEATURES) == 42
     assert both.where(" or ".join(f"{f} is null or isnan({f})" for f in features.FEATURES)).count() == 0
 
 
@@ -216,3 +216,46 @@ def test_registered_retrieval_has_the_operators_defaults(spark, sf_dir, monkeypa
     for name in ("text_topk", "fused_topk"):
         registry.QUERIES[name](spark, sf_dir)
     assert [(c.top_k, c.low, c.high) for c in seen] == [(50, 2, 5), (100, 2, 5)]
+
+
+def _pair_tables(spark):
+    queries = spark.createDataFrame([("S1-1", "x", "a b", "c")], "source1_entity_id string, country string, name string, address string")
+    targets = spark.createDataFrame([("S2-1", "source2", "x", "a b", "c"), ("S2-2", "source2", None, "d", "")], "candidate_entity_id string, candidate_source string, country string, name string, address string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1", "source2"), ("S1-1", "S2-2", "source2")], "source1_entity_id string, candidate_entity_id string, candidate_source string")
+    return pairs, queries, targets
+
+
+def test_attach_keeps_every_candidate_or_raises(spark):
+    from weftlink.operators import features
+
+    pairs, queries, targets = _pair_tables(spark)
+    got = {r.candidate_entity_id: r for r in features.attach(pairs, queries, targets).collect()}
+    assert len(got) == 2 and got["S2-2"].t_country is None and got["S2-2"].t_name_frequency == 1 and got["S2-1"].q_name == "a b"
+    bad = [
+        (pairs.selectExpr("'S1-9' source1_entity_id", "candidate_entity_id", "candidate_source"), queries, targets, "no record"), (pairs.selectExpr("source1_entity_id", "'S2-9' candidate_entity_id", "candidate_source"), queries, targets, "no record"),
+        (pairs, queries.union(queries), targets, "repeated"), (pairs, queries, targets.union(targets), "repeated"), (pairs.withColumn("candidate_source", F.lit("source3")), queries, targets, "another source"),
+    ]
+    for p, q, t, what in bad:
+        with pytest.raises(Exception, match=what):
+            features.pair_features(p, q, t).select("name_exact").collect()
+
+
+def test_ranks_in_groups_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    from weftlink.functions.text import sha_rank
+
+    df = spark.range(20000).selectExpr("cast(id as string) id", "nullif(id % 3, 2) s", "id % 2 t")
+    got = splits.ranked_in(df, ["s", "t"], sha_rank(1, F.col("id")), "id")
+    own = Window.partitionBy("s", "t")
+    both = got.withColumns({"r": F.row_number().over(own.orderBy(sha_rank(1, F.col("id")), "id")), "n": F.count("*").over(own)})
+    assert both.where("r <> rank or n <> size").count() == 0 and both.count() == 20000 and both.columns[:5] == ["id", "s", "t", "size", "rank"]
+
+
+def test_unseen_grams_count_in_the_norm(spark):
+    from weftlink.operators import retrieval
+
+    _, queries, targets = _pair_tables(spark)
+    queries = queries.withColumn("name", F.lit("a b zzzz"))
+    with_, without = (retrieval.top_k(queries, targets, retrieval.RetrievalConfig(unseen=u)).first().char_name_score for u in (True, False))
+    assert 0 < with_ < without <= 1

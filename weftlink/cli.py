@@ -74,7 +74,7 @@ def _audit(spark: SparkSession, a: argparse.Namespace) -> dict:
     violations = {r["check"]: r["violations"] for r in _rows(audit.contract_violations(records.select("entity_id", "source"), found["ground_truth"]))}
     return {
         "status": "FAIL" if any(violations.values()) else "PASS", "violations": violations, "records": _rows(audit.record_audit(records)), "truth": _rows(audit.truth_audit(found["ground_truth"])),
-        "matches": _rows(audit.match_histogram(found["ground_truth"])), "countries": _rows(audit.frequencies(records, "country").limit(1000)),
+        "matches": _rows(audit.match_histogram(found["ground_truth"])), "countries": _rows(audit.frequencies(records, "country")),
         "duplicates": _rows(audit.duplicate_groups(records, RECORD.names[1:])),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.operators.splits import match_counts, truth_pairs
@@ -36,7 +36,7 @@ def duplicate_groups(records: DataFrame, keys: list[str]) -> DataFrame:
 
 def repeated_texts(records: DataFrame, text: Column) -> DataFrame:
     """Rows whose text another row has too."""
-    return records.select(F.count("*").over(Window.partitionBy(text)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
+    return records.groupBy(text.alias("text")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"))
 
 
 def frequencies(records: DataFrame, column: str) -> DataFrame:

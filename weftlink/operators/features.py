@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +14,49 @@ from weftlink.sources.tables import with_evidence
 
 # The features in the order that models expect.
 FEATURES = (
-    "block_exact_name block_exact_address retrieval_score log_fuzzy_score shared_blocking_keys candidate_rank_source_log candidate_rank_source_reciprocal candidate_count_log source_candidate_count_log retrieval_gap_from_best retrieval_ratio_to_best blocker_agreement block_exact_both "
-    "name_jaro_winkler name_token_jaccard name_token_containment name_shared_token_count_log name_edit_similarity name_exact name_sorted_exact name_first_token_exact name_last_token_exact "
-    "address_jaro_winkler address_token_jaccard address_token_containment address_shared_token_count_log address_edit_similarity address_exact address_digit_jaccard address_number_overlap_count_log address_number_subset same_first_address_number conflicting_first_address_number "
-    "country_exact name_missing_either address_missing_either candidate_is_source3 query_name_frequency_log candidate_name_frequency_log candidate_address_frequency_log name_length_ratio address_length_ratio"
-).split()
+    "block_exact_name",
+    "block_exact_address",
+    "retrieval_score",
+    "log_fuzzy_score",
+    "shared_blocking_keys",
+    "candidate_rank_source_log",
+    "candidate_rank_reciprocal",
+    "candidate_count_log",
+    "source_candidate_count_log",
+    "retrieval_gap_from_best",
+    "retrieval_ratio_to_best",
+    "blocker_agreement",
+    "block_exact_both",
+    "name_jaro_winkler",
+    "name_token_jaccard",
+    "name_token_containment",
+    "name_shared_token_count_log",
+    "name_edit_similarity",
+    "name_exact",
+    "name_sorted_exact",
+    "name_first_token_exact",
+    "name_last_token_exact",
+    "address_jaro_winkler",
+    "address_token_jaccard",
+    "address_token_containment",
+    "address_shared_token_count_log",
+    "address_edit_similarity",
+    "address_exact",
+    "address_digit_jaccard",
+    "address_number_overlap_count_log",
+    "address_number_subset",
+    "same_first_address_number",
+    "conflicting_first_address_number",
+    "country_exact",
+    "name_missing_either",
+    "address_missing_either",
+    "candidate_is_source3",
+    "query_name_frequency_log",
+    "candidate_name_frequency_log",
+    "candidate_address_frequency_log",
+    "name_length_ratio",
+    "address_length_ratio",
+)
 
 
 def block_strength() -> Column:
@@ -47,7 +88,7 @@ def evidence_features(r: DataFrame) -> dict[str, Column]:
         "log_fuzzy_score": F.log(1.0 + F.greatest(F.col("fuzzy_score"), F.lit(0.0))),
         "shared_blocking_keys": F.col("shared_blocking_keys").cast("double"),
         "candidate_rank_source_log": ln("candidate_rank_source"),
-        "candidate_rank_source_reciprocal": 1.0 / F.col("candidate_rank_source"),
+        "candidate_rank_reciprocal": 1.0 / F.col("candidate_rank_source"),
         "candidate_count_log": ln("candidate_count"),
         "source_candidate_count_log": ln("source_candidate_count"),
         "retrieval_gap_from_best": best - score,
@@ -97,14 +138,31 @@ def number_features() -> dict[str, Column]:
     }
 
 
+def _once(records: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row for each key, with how many rows had it."""
+    return records.groupBy(key).agg(F.count("*").alias(f"{key}_rows"), *[F.first(c).alias(c) for c in columns])
+
+
 def attach(candidates: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Candidates with both records' texts and how often equal ones occur in their pools."""
-    freq = lambda df, keys, name: df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
-    q = freq(queries, ["country", "name"], "q_name_frequency")
-    t = freq(freq(targets, ["candidate_source", "country", "name"], "t_name_frequency"), ["candidate_source", "country", "address"], "t_address_frequency")
-    left = q.select("source1_entity_id", F.col("name").alias("q_name"), F.col("address").alias("q_address"), F.col("country").alias("q_country"), "q_name_frequency")
-    right = t.select("candidate_entity_id", "candidate_source", F.col("name").alias("t_name"), F.col("address").alias("t_address"), F.col("country").alias("t_country"), "t_name_frequency", "t_address_frequency")
-    return candidates.join(left, "source1_entity_id").join(right, ["candidate_entity_id", "candidate_source"])
+    """Candidates with both records' texts and how often equal ones occur in their pools: one row for each candidate. An
+    id that no record or several records have is an error when the rows are computed, as is a candidate of another
+    source than its record's."""
+    count = lambda df, keys, name: df.groupBy(*[F.col(k).alias(f"{name}_{k}") for k in keys]).agg(F.count("*").alias(name))
+    same = lambda keys, name: functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys])
+
+    def counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.join(count(df, keys, name), same(keys, name)).drop(*[f"{name}_{k}" for k in keys])
+
+    q = counted(_once(queries, "source1_entity_id", "country", "name", "address"), ["country", "name"], "q_name_frequency")
+    t = _once(targets, "candidate_entity_id", "candidate_source", "country", "name", "address")
+    t = counted(counted(t, ["candidate_source", "country", "name"], "t_name_frequency"), ["candidate_source", "country", "address"], "t_address_frequency")
+    left = q.select("source1_entity_id", "source1_entity_id_rows", F.col("name").alias("q_name"), F.col("address").alias("q_address"), F.col("country").alias("q_country"), "q_name_frequency")
+    right = t.select("candidate_entity_id", "candidate_entity_id_rows", F.col("candidate_source").alias("t_source"), F.col("name").alias("t_name"), F.col("address").alias("t_address"), F.col("country").alias("t_country"), "t_name_frequency", "t_address_frequency")
+    out = candidates.join(left, "source1_entity_id", "left").join(right, "candidate_entity_id", "left")
+    wrong = lambda c, what: F.when(c, F.raise_error(F.concat(F.lit(f"{what}: "), "source1_entity_id", F.lit(" "), "candidate_entity_id")).cast("boolean"))
+    for side in ("source1_entity_id", "candidate_entity_id"):
+        out = out.where(wrong(F.col(f"{side}_rows").isNull(), f"no record for {side}").when(F.col(f"{side}_rows") > 1, F.raise_error(F.concat(F.lit(f"repeated {side}: "), side, F.lit(" of "), "source1_entity_id")).cast("boolean")).otherwise(F.lit(True)))
+    return out.where(wrong(F.col("candidate_source") != F.col("t_source"), "another source").otherwise(F.lit(True))).drop("source1_entity_id_rows", "candidate_entity_id_rows", "t_source")
 
 
 def frequency_features() -> dict[str, Column]:
@@ -126,8 +184,24 @@ def pair_features(candidates: DataFrame, queries: DataFrame, targets: DataFrame,
     return attach(r, queries, targets).select("source1_entity_id", "candidate_entity_id", "candidate_source", *keep, *[made[f].alias(f) for f in FEATURES])
 
 
-#: The smaller set of features, on texts of the other normalizer; two empty sets or texts count as alike.
-SMALL = "retrieval_score name_exact name_compact_exact name_ratio name_token_set_ratio name_token_jaccard name_length_ratio address_exact address_ratio address_token_set_ratio address_token_jaccard address_digit_jaccard country_exact country_missing_either candidate_is_source3".split()
+# The smaller set of features, in order, on texts of the other normalizer; two empty sets or texts count as alike.
+SMALL = (
+    "retrieval_score",
+    "name_exact",
+    "name_compact_exact",
+    "name_ratio",
+    "name_token_set_ratio",
+    "name_token_jaccard",
+    "name_length_ratio",
+    "address_exact",
+    "address_ratio",
+    "address_token_set_ratio",
+    "address_token_jaccard",
+    "address_digit_jaccard",
+    "country_exact",
+    "country_missing_either",
+    "candidate_is_source3",
+)
 
 
 def small_features(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Top-k retrieval by TF-IDF cosine over character n-grams, as a join of two inverted indexes.
 
 Weights: 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1, with n and df of the targets alone, L2-normalized. A gram that no
-target has counts in no norm. Names and addresses combine as (1 - a) and a times their cosines, over the parts that
+target has counts in a query's norm, with df 0, unless `unseen` is off. Names and addresses combine as (1 - a) and a times their cosines, over the parts that
 each record has.
 """
 
@@ -26,26 +26,33 @@ class RetrievalConfig:
     min_similarity: float = 0.10
     address_weight: float = 0.0
     max_df: int | None = None
+    unseen: bool = True
 
 
-def weights(records: DataFrame, ids: list[str], group: list[str], grams: Column, frequency: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ids, group, gram, weight) of records, and the frequencies that were used: (group, gram, df, n)."""
+def weights(records: DataFrame, ids: list[str], group: list[str], grams: Column, frequency: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ids, group, gram, weight) of records, and the frequencies that were used: (group, gram, df, n). sizes: (group,
+    n), if grams without a frequency count in the norm too."""
     tf = records.select(*ids, *group, F.explode(grams).alias("gram")).groupBy(*ids, *group, "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
     if frequency is None:
         size = records.groupBy(*group).agg(F.count("*").alias("n"))
         frequency = tf.groupBy(*group, "gram").agg(F.count("*").alias("df")).join(size, group)
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1
-    raw = tf.join(frequency, [*group, "gram"]).select(*ids, *group, "gram", "df", (F.col("tf") * idf).alias("raw"))
+    if sizes is None:
+        known = tf.join(frequency, [*group, "gram"])
+    else:
+        known = tf.join(frequency.drop("n"), [*group, "gram"], "left").fillna(0, ["df"]).join(sizes, group)
+    raw = known.select(*ids, *group, "gram", "df", (F.col("tf") * idf).alias("raw"))
     norm = raw.groupBy(*ids, *group).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, [*ids, *group]).select(*ids, *group, "gram", "df", (F.col("raw") / F.col("norm")).alias("weight")), frequency
 
 
-def _cosine(queries: DataFrame, targets: DataFrame, group: list[str], grams, max_df: int | None) -> DataFrame:
+def _cosine(queries: DataFrame, targets: DataFrame, group: list[str], grams, config: RetrievalConfig) -> DataFrame:
     right, frequency = weights(targets, ["candidate_entity_id", "candidate_source"], group, grams)
     size = targets.select("candidate_source").distinct() if "candidate_source" in group else None
-    left, _ = weights(queries.crossJoin(F.broadcast(size)) if size is not None else queries, ["source1_entity_id"], group, grams, frequency)
-    if max_df:
-        left = left.where(F.col("df") <= max_df)
+    sizes = targets.groupBy(*group).agg(F.count("*").alias("n")) if config.unseen else None
+    left, _ = weights(queries.crossJoin(F.broadcast(size)) if size is not None else queries, ["source1_entity_id"], group, grams, frequency, sizes)
+    if config.max_df:
+        left = left.where(F.col("df") <= config.max_df)
     both = left.select("source1_entity_id", *group, "gram", F.col("weight").alias("wq")).join(right.select("candidate_entity_id", *(["candidate_source"] if "candidate_source" not in group else []), *group, "gram", F.col("weight").alias("wt")), [*group, "gram"])
     return both.groupBy("source1_entity_id", "candidate_entity_id", "candidate_source").agg(F.sum(F.col("wq") * F.col("wt")).alias("cosine"))
 
@@ -56,9 +63,9 @@ def top_k(queries: DataFrame, targets: DataFrame, config: RetrievalConfig = Retr
     group = ["candidate_source", *["country"] * by_country]
     of = grams or (lambda c: tx.grams(c, config.low, config.high))
     a = config.address_weight
-    score = _cosine(queries, targets, group, of(F.col("name")), config.max_df)
+    score = _cosine(queries, targets, group, of(F.col("name")), config)
     if a:
-        address = _cosine(queries, targets, group, tx.word_pairs(F.col("address")), config.max_df).withColumnRenamed("cosine", "cosine_a")
+        address = _cosine(queries, targets, group, tx.word_pairs(F.col("address")), config).withColumnRenamed("cosine", "cosine_a")
         pair = ["source1_entity_id", "candidate_entity_id", "candidate_source"]
         has = lambda df, k: df.select(k, (F.col("name") != "").alias(f"{k}_n"), (F.col("address") != "").alias(f"{k}_a"))
         joined = score.join(address, pair, "full").join(has(queries, "source1_entity_id"), "source1_entity_id").join(has(targets, "candidate_entity_id"), "candidate_entity_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.text import md5_bucket, md5_number, normalize_unicode, sha_rank
@@ -40,11 +40,25 @@ def match_counts(truth: DataFrame) -> DataFrame:
     return truth.select("source1_entity_id", F.when(F.trim(ids) == "", 0).otherwise(1 + F.length(ids) - F.length(F.replace(ids, F.lit(",")))).cast("long").alias("match_count"))
 
 
+def ranked_in(df: DataFrame, strata: list[str], order: Column, *ties: str) -> DataFrame:
+    """df with rank and size of its row's stratum. order: a hexadecimal text, evenly spread. Its first three digits deal a
+    stratum to up to 4096 groups, whose sizes give the ranks before them, so that no stratum is ordered in one task."""
+    keyed = df.withColumn("rank_key", order).withColumn("rank_digits", F.left("rank_key", F.lit(3)))
+    counts = keyed.groupBy(*strata, "rank_digits").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*strata)
+    upto = within.orderBy("rank_digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(*[F.col(c).alias(f"rank_{c}") for c in strata], F.col("rank_digits").alias("rank_group"), (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(within).alias("size"))
+    same = F.col("rank_digits") == F.col("rank_group")
+    for c in strata:
+        same &= F.col(c).eqNullSafe(F.col(f"rank_{c}"))
+    own = F.row_number().over(Window.partitionBy(*strata, "rank_digits").orderBy("rank_key", *ties))
+    return keyed.withColumn("own_rank", own).join(before, same).withColumn("rank", F.col("own_rank") + F.col("before")).drop("own_rank", "before", "rank_key", "rank_digits", "rank_group", *[f"rank_{c}" for c in strata])
+
+
 def assign_entities(source1: DataFrame, truth: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     """entity_id, country, match_count, split of each Source 1 record. A stratum under three stays in train."""
-    stratum = Window.partitionBy("country", "match_count")
-    rank = F.row_number().over(stratum.orderBy(md5_number(F.concat(F.lit(f"{config.seed}:"), F.col("entity_id")))))
-    base = source1.select("entity_id", "country").join(match_counts(truth), F.col("entity_id") == F.col("source1_entity_id")).withColumns({"size": F.count("*").over(stratum), "rank": rank})
+    base = source1.select("entity_id", "country").join(match_counts(truth), F.col("entity_id") == F.col("source1_entity_id"))
+    base = ranked_in(base, ["country", "match_count"], md5_number(F.concat(F.lit(f"{config.seed}:"), F.col("entity_id"))))
     part = lambda f: F.when(F.col("size") >= 3, F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(f)))).otherwise(0)
     v, t = part(config.validation), part(config.local_test)
     split = F.when(F.col("rank") <= v, "validation").when(F.col("rank") <= v + t, "local_test").otherwise("train")
@@ -113,8 +127,8 @@ def fold_manifest(source1: DataFrame, targets: DataFrame, truth: DataFrame, n_sp
     country = F.when(normalize(F.coalesce("country", F.lit(""))) == "", "<missing-country>").otherwise(normalize(F.coalesce("country", F.lit(""))))
 
     def dealt(df: DataFrame, seed: int) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("stratum").orderBy(sha_rank(seed, F.col("entity_id")), "entity_id"))
-        return df.withColumn("fold", ((rank - 1) % n_splits).cast("int"))
+        ranked = ranked_in(df, ["stratum"], sha_rank(seed, F.col("entity_id")), "entity_id")
+        return ranked.withColumn("fold", ((F.col("rank") - 1) % n_splits).cast("int")).drop("rank", "size")
 
     counts = match_counts(truth)
     groups = source1.join(counts, F.col("entity_id") == F.col("source1_entity_id")).select("entity_id", F.concat_ws("|", country, F.when(F.col("match_count") == 0, "singleton").otherwise("matched")).alias("stratum"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.functions.text import normalize_sql
-from weftlink.operators.blocking import BlockingConfig, queries_of, rule_candidates
+from weftlink.operators.blocking import BlockingConfig, merge_evidence, queries_of, rule_candidates
 from weftlink.operators.features import ranked
+from weftlink.operators.retrieval import RetrievalConfig, top_k
+from weftlink.sources.tables import stored
 
 CONFIG = BlockingConfig()
 THRESHOLD = 0.5
@@ -22,6 +24,7 @@ class Fixture:
     with its country and key; a table of packed lists has every Source 1 record."""
 
     records: DataFrame
+    made: DataFrame | None = None
 
     def source(self, k: int) -> DataFrame:
         return self.records.where(F.col("src") == k).drop("src")
@@ -50,9 +53,21 @@ class Fixture:
         lists = self.pairs().groupBy("source1_entity_id").agg(F.array_join(F.sort_array(F.collect_list("candidate_entity_id")), ",").alias("matched_entity_ids"))
         return self.entities().join(lists, "source1_entity_id", "left").select("source1_entity_id", F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"))
 
-    def candidates(self) -> DataFrame:
+    def rules(self) -> DataFrame:
         return rule_candidates(self.queries(), self.targets(), CONFIG)
 
+    def candidates(self) -> DataFrame:
+        """Candidates by rules, computed once however often a query reads them."""
+        if self.made is None:
+            self.made = stored(self.rules(), "candidates")
+        return self.made
+
+    def merged(self) -> DataFrame:
+        """Candidates by rules and by retrieval, each pair with the evidence of both. Of the scores' nine places six stay,
+        cut where no nine-place number lies, so that every engine cuts alike."""
+        found = top_k(self.queries(), self.targets(), RetrievalConfig(top_k=20)).withColumn("char_name_score", F.floor(F.col("char_name_score") * 1e6 + 0.2505) / 1e6)
+        return stored(merge_evidence(self.rules(), found), "merged")
+
     def scores(self) -> DataFrame:
         """A deterministic score in 0 to 1 from block_strength."""
         s = F.col("block_strength")

@@ -12,7 +12,7 @@ from weftlink.functions import text as tx
 from weftlink.functions.text import normalize_sql
 from weftlink.operators import audit, blocking, evaluate, features, learning, retrieval, sampling, splits, submission
 from weftlink.plans.fixtures import CONFIG, SOURCE_THRESHOLDS, THRESHOLD, Fixture, fixture
-from weftlink.plans.sql import PAIR, fbeta, norm, sql
+from weftlink.plans.sql import PAIR, STEPS, fbeta, md5_low, norm, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def _sql_typed(select: str, longs: str = "", doubles: str = "") -> str:
-    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"round(CAST({c} AS DOUBLE), 8) AS {c}" for c in doubles.split()]
+    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [f"round(CAST({c} AS DOUBLE) + 1e-12, 8) AS {c}" for c in doubles.split()]
     return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({select})" if casts else select
 
 
@@ -73,7 +73,7 @@ def fuzzy_candidates(x: Fixture) -> DataFrame:
 
 @query(sql("final", _sql_typed("SELECT * FROM final", "exact_name exact_address shared_blocking_keys", "fuzzy_score")))
 def final_candidates(x: Fixture) -> DataFrame:
-    return x.candidates()
+    return x.rules()
 
 
 _REPORT = """SELECT * FROM (SELECT count(*) AS query_count, CAST(sum(n) AS BIGINT) AS candidate_pairs, count_if(n = 0)::BIGINT AS zero_candidate_queries, max(n) AS most_candidates,
@@ -102,21 +102,22 @@ def source_recall(x: Fixture) -> DataFrame:
 
 
 def _gram_sql(grams_q: str, grams_t: str, floor: float) -> str:
-    """TF-IDF cosine with frequencies of each (source, country) of the targets."""
-    return sql("q t", f"""SELECT source1_entity_id, candidate_entity_id, candidate_source, round(s, 8) AS char_name_score FROM (
+    """TF-IDF cosine with frequencies of each (source, country) of the targets. s has nine places; what is added before it
+    is rounded to eight makes halves go up, as they do in Spark."""
+    return sql("q t", f"""SELECT source1_entity_id, candidate_entity_id, candidate_source, round(s + 1e-12, 8) AS char_name_score FROM (
       SELECT wq.source1_entity_id, wt.candidate_entity_id, wt.candidate_source, round(greatest(0.0, least(1.0, sum(wq.w * wt.w))), 9) AS s FROM
         (SELECT source1_entity_id, candidate_source, country, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY source1_entity_id, candidate_source)) AS w FROM (
-            SELECT g.source1_entity_id, d.candidate_source, country, gram, (1 + ln(count(*))) * (ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + any_value(df))) + 1) AS raw
-            FROM (SELECT source1_entity_id, country, {grams_q} AS gram FROM q) g JOIN dfs d USING (country, gram) GROUP BY ALL)) wq
+            SELECT g.source1_entity_id, s.candidate_source, g.country, g.gram, (1 + ln(count(*))) * (ln((1.0::DOUBLE + any_value(s.n)) / (1.0::DOUBLE + coalesce(any_value(df), 0))) + 1) AS raw
+            FROM (SELECT source1_entity_id, country, {grams_q} AS gram FROM q) g JOIN sizes s ON s.country = g.country LEFT JOIN dfs d ON d.candidate_source = s.candidate_source AND d.country = g.country AND d.gram = g.gram GROUP BY ALL)) wq
         JOIN (SELECT candidate_entity_id, candidate_source, country, gram, raw / sqrt(sum(raw * raw) OVER (PARTITION BY candidate_entity_id, candidate_source)) AS w FROM (
             SELECT g.candidate_entity_id, candidate_source, country, gram, (1 + ln(count(*))) * (ln((1.0::DOUBLE + any_value(n)) / (1.0::DOUBLE + any_value(df))) + 1) AS raw
             FROM (SELECT candidate_entity_id, candidate_source, country, {grams_t} AS gram FROM t) g JOIN dfs d USING (candidate_source, country, gram) GROUP BY ALL)) wt
         USING (candidate_source, country, gram) GROUP BY ALL)
       WHERE s >= {floor} QUALIFY row_number() OVER (PARTITION BY source1_entity_id, candidate_source ORDER BY s DESC, candidate_entity_id) <= 20""").replace(
-        "\nSELECT source1_entity_id, candidate_entity_id, candidate_source, round(s, 8)",
-        f""", dfs AS (SELECT candidate_source, country, gram, count(DISTINCT candidate_entity_id) AS df, any_value(n) AS n FROM (SELECT candidate_entity_id, candidate_source, country, {grams_t} AS gram FROM t)
-        JOIN (SELECT candidate_source, country, count(*) AS n FROM t GROUP BY ALL) USING (candidate_source, country) GROUP BY ALL)
-        SELECT source1_entity_id, candidate_entity_id, candidate_source, round(s, 8)""", 1,
+        "\nSELECT source1_entity_id, candidate_entity_id, candidate_source, round(s + 1e-12, 8)",
+        f""", sizes AS (SELECT candidate_source, country, count(*) AS n FROM t GROUP BY ALL), dfs AS (SELECT candidate_source, country, gram, count(DISTINCT candidate_entity_id) AS df, any_value(n) AS n FROM (SELECT candidate_entity_id, candidate_source, country, {grams_t} AS gram FROM t)
+        JOIN sizes USING (candidate_source, country) GROUP BY ALL)
+        SELECT source1_entity_id, candidate_entity_id, candidate_source, round(s + 1e-12, 8)""", 1,
     )
 
 
@@ -148,7 +149,7 @@ def fused_topk(x: Fixture) -> DataFrame:
 def text_topk(x: Fixture) -> DataFrame:
     """Whole records by grams inside words, countries mixed."""
     text = lambda df: df.withColumn("name", tx.field_text(F.col("name"), F.col("address")))
-    config = retrieval.RetrievalConfig(top_k=50)
+    config = retrieval.RetrievalConfig(top_k=50, unseen=False)
     return retrieval.top_k(text(x.queries(tx.normalize_unicode)), text(x.targets(tx.normalize_unicode)), config, by_country=False, grams=lambda c: tx.word_grams(c, config.low, config.high))
 
 
@@ -180,15 +181,19 @@ def _features(x: Fixture, made: dict, *names: str) -> DataFrame:
     return features.attach(features.ranked(x.candidates()), x.queries(), x.targets()).select(*_IDS, *[made[n].alias(n) for n in names or made])
 
 
-def _feature_sql(exprs: dict[str, str]) -> str:
-    return sql("attached", f"SELECT {PAIR}, " + ", ".join(f"round(CAST({e} AS DOUBLE), 8) AS {n}" for n, e in exprs.items()) + " FROM attached")
+def _feature_sql(exprs: dict[str, str], other: dict[str, tuple[str, str]] | None = None) -> str:
+    return sql("attached", f"SELECT {PAIR}, " + ", ".join(f"round(CAST({e} AS DOUBLE), 8) AS {n}" for n, e in exprs.items()) + " FROM attached", other)
 
 
-@query(_feature_sql({
-    "block_exact_name": "exact_name", "block_exact_address": "exact_address", "retrieval_score": "0", "log_fuzzy_score": "ln(1.0::DOUBLE + greatest(fuzzy_score, 0))", "shared_blocking_keys": "shared_blocking_keys",
-    "candidate_rank_source_log": "ln(1.0::DOUBLE + candidate_rank_source)", "candidate_rank_source_reciprocal": "1.0::DOUBLE / candidate_rank_source", "candidate_count_log": "ln(1.0::DOUBLE + candidate_count)",
-    "source_candidate_count_log": "ln(1.0::DOUBLE + source_candidate_count)", "retrieval_gap_from_best": "0", "retrieval_ratio_to_best": "0", "blocker_agreement": "0", "block_exact_both": "(exact_name > 0 AND exact_address > 0)::INT",
-}))
+_BLOCK = {
+    "block_exact_name": "exact_name", "block_exact_address": "exact_address", "retrieval_score": "char_name_score", "log_fuzzy_score": "ln(1.0::DOUBLE + greatest(fuzzy_score, 0))", "shared_blocking_keys": "shared_blocking_keys",
+    "candidate_rank_source_log": "ln(1.0::DOUBLE + candidate_rank_source)", "candidate_rank_reciprocal": "1.0::DOUBLE / candidate_rank_source", "candidate_count_log": "ln(1.0::DOUBLE + candidate_count)",
+    "source_candidate_count_log": "ln(1.0::DOUBLE + source_candidate_count)", "retrieval_gap_from_best": "best_retrieval - char_name_score", "retrieval_ratio_to_best": "CASE WHEN best_retrieval <= 0 THEN 0.0 ELSE char_name_score / greatest(best_retrieval, 1e-12) END",
+    "blocker_agreement": "((exact_name + exact_address > 0 OR shared_blocking_keys > 0) AND char_name_score > 0)::INT", "block_exact_both": "(exact_name > 0 AND exact_address > 0)::INT",
+}
+
+
+@query(_feature_sql(_BLOCK))
 def pair_features_block(x: Fixture) -> DataFrame:
     return _features(x, features.evidence_features(None))
 
@@ -209,11 +214,14 @@ def _contain(a: str, b: str) -> str:
 _BOTH = "len(qw) > 0 AND len(tw) > 0"
 
 
-@query(_feature_sql({
+_TOKENS = {
     "name_token_jaccard": _jaccard("qw", "tw"), "name_token_containment": _contain("qw", "tw"), "name_shared_token_count_log": f"ln(1.0::DOUBLE + {_inter('qw', 'tw')})",
     "name_sorted_exact": f"({_BOTH} AND list_sort(list_distinct(qw)) = list_sort(list_distinct(tw)))::INT", "name_first_token_exact": f"coalesce({_BOTH} AND qw[1] = tw[1], false)::INT", "name_last_token_exact": f"coalesce({_BOTH} AND qw[-1] = tw[-1], false)::INT",
     "address_token_jaccard": _jaccard("qx", "tx"), "address_token_containment": _contain("qx", "tx"), "address_shared_token_count_log": f"ln(1.0::DOUBLE + {_inter('qx', 'tx')})",
-}))
+}
+
+
+@query(_feature_sql(_TOKENS))
 def pair_features_tokens(x: Fixture) -> DataFrame:
     made = features.text_features("name") | features.name_token_features() | features.text_features("address")
     return _features(x, made, "name_token_jaccard", "name_token_containment", "name_shared_token_count_log", "name_sorted_exact", "name_first_token_exact", "name_last_token_exact", "address_token_jaccard", "address_token_containment", "address_shared_token_count_log")
@@ -240,28 +248,76 @@ def pair_features_edit(x: Fixture) -> DataFrame:
 _ND = "len(qd) > 0 AND len(td) > 0"
 
 
-@query(_feature_sql({
+_NUMBERS = {
     "address_digit_jaccard": _jaccard("qd", "td"), "address_number_overlap_count_log": f"ln(1.0::DOUBLE + {_inter('qd', 'td')})", "address_number_subset": f"({_ND} AND {_inter('qd', 'td')} = least(len(list_distinct(qd)), len(list_distinct(td))))::INT",
     "same_first_address_number": f"coalesce({_ND} AND qd[1] = td[1], false)::INT", "conflicting_first_address_number": f"coalesce({_ND} AND qd[1] <> td[1], false)::INT",
-}))
+}
+
+
+@query(_feature_sql(_NUMBERS))
 def pair_features_numbers(x: Fixture) -> DataFrame:
     return _features(x, features.number_features())
 
 
-@query(_feature_sql({
+_FREQUENCY = {
     "country_exact": "(lower(trim(q_country)) <> '' AND lower(trim(q_country)) = lower(trim(t_country)))::INT", "candidate_is_source3": "starts_with(candidate_entity_id, 'S3-')::INT",
     "query_name_frequency_log": "ln(1.0::DOUBLE + q_n)", "candidate_name_frequency_log": "ln(1.0::DOUBLE + t_n)", "candidate_address_frequency_log": "ln(1.0::DOUBLE + t_a)",
-}))
+}
+
+
+@query(_feature_sql(_FREQUENCY))
 def pair_features_frequency(x: Fixture) -> DataFrame:
     return _features(x, features.frequency_features())
 
 
-@query()
+_ALL = _BLOCK | _TOKENS | _edit("name") | _edit("address") | _NUMBERS | _FREQUENCY
+_ALL = {n: _ALL[n] for n in features.FEATURES}
+
+
+@query(_feature_sql(_ALL))
 def pair_features(x: Fixture) -> DataFrame:
     """All 42 features in the order that models expect."""
     return features.pair_features(x.candidates(), x.queries(), x.targets())
 
 
+#: Retrieval's evidence beside the rules', and steps that read both in place of the rules' alone.
+_GRAMS = _gram_sql(_CHAR, _CHAR, 0.10).replace("round(s + 1e-12, 8) AS char_name_score", "CAST(floor(s * 1e6 + 0.2505) / 1e6 AS DOUBLE) AS char_name_score")
+_MERGED = f"SELECT {PAIR}, max(a) AS exact_name, max(b) AS exact_address, max(c) AS fuzzy_score, max(d) AS shared_blocking_keys, max(e) AS char_name_score FROM (SELECT {PAIR}, exact_name AS a, exact_address AS b, fuzzy_score AS c, shared_blocking_keys AS d, 0.0::DOUBLE AS e FROM final UNION ALL SELECT {PAIR}, 0, 0, 0.0, 0, char_name_score FROM found) GROUP BY ALL"
+_BOTH_KINDS = {"found": ("", _GRAMS), "offered_by_rules": ("final found", _MERGED)}
+
+
+@query(sql("offered_by_rules", _sql_typed("SELECT * FROM offered_by_rules", "exact_name exact_address shared_blocking_keys", "fuzzy_score char_name_score"), _BOTH_KINDS))
+def merged_candidates(x: Fixture) -> DataFrame:
+    """The production candidates: by rules and by retrieval."""
+    return x.merged()
+
+
+@query(_feature_sql(_ALL, _BOTH_KINDS))
+def merged_pair_features(x: Fixture) -> DataFrame:
+    """All 42 features of the production candidates; the four on retrieval have values."""
+    return features.pair_features(x.merged(), x.queries(), x.targets())
+
+
+_MINED = {"sample_ranked": ("ranked scores_of pairs", f"""SELECT *, row_number() OVER (g ORDER BY block_strength DESC, candidate_entity_id) AS by_strength,
+        row_number() OVER (g ORDER BY {md5_low("candidate_entity_id || ':20260925:negative'")}, candidate_entity_id) AS by_chance,
+        row_number() OVER (g ORDER BY model_score DESC, block_strength DESC, candidate_entity_id) AS by_model, count_if(label = 0) OVER (PARTITION BY source1_entity_id, candidate_source) AS negatives
+        FROM (SELECT ranked.*, coalesce(model_score, 0.0) AS model_score, CASE WHEN pairs.candidate_entity_id IS NULL THEN 0 ELSE 1 END AS label FROM ranked LEFT JOIN scores_of USING (source1_entity_id, candidate_entity_id) LEFT JOIN pairs USING (source1_entity_id, candidate_entity_id))
+        WINDOW g AS (PARTITION BY source1_entity_id, candidate_source, label)"""),
+    "scores_of": ("ranked", "SELECT source1_entity_id, candidate_entity_id, md5_number_lower(candidate_entity_id || source1_entity_id) % 1000 / 1000.0::DOUBLE AS model_score FROM ranked WHERE candidate_rank_source <= 20")}
+
+
+@query(sql("sample_ranked", _sql_typed("""SELECT source1_entity_id, candidate_entity_id, candidate_source, label, CASE WHEN label = 1 THEN 1.0 ELSE negatives::DOUBLE / greatest(count_if(label = 0) OVER (PARTITION BY source1_entity_id, candidate_source), 1) END AS sample_weight
+    FROM sample_ranked WHERE label = 1 OR by_strength <= 3 OR by_model <= 4 OR by_chance <= 1""", "label", "sample_weight"), _MINED | _BOTH_KINDS))
+def mined_sample(x: Fixture) -> DataFrame:
+    """A second round's sample over the production candidates: negatives that an earlier model scores high. The scores
+    here are a hash, for the strongest 20 of a query and source."""
+    found = x.merged()
+    score = tx.md5_bucket(F.concat("candidate_entity_id", "source1_entity_id"), 1000) / 1000.0
+    mining = features.ranked(found).where("candidate_rank_source <= 20").select("source1_entity_id", "candidate_entity_id", score.alias("score"))
+    out = sampling.training_sample(found, x.pairs(), sampling.SamplingConfig(hard=3, model_hard=4), mining)
+    return out.select("source1_entity_id", "candidate_entity_id", "candidate_source", "label", "sample_weight")
+
+
 @query()
 def pair_features_small(x: Fixture) -> DataFrame:
     r = x.records
@@ -358,11 +414,14 @@ def split_summary(x: Fixture) -> DataFrame:
 
 
 
-@query(sql("owned assigned pairs", """SELECT * FROM (VALUES ('duplicate_entities', (SELECT count(*) FROM (SELECT entity_id FROM assigned GROUP BY ALL HAVING count(*) > 1))), ('duplicate_targets', (SELECT count(*) FROM (SELECT entity_id FROM owned GROUP BY ALL HAVING count(*) > 1))),
+_SPLIT_CHECKS = """SELECT * FROM (VALUES ('duplicate_entities', (SELECT count(*) FROM (SELECT entity_id FROM assigned GROUP BY ALL HAVING count(*) > 1))), ('duplicate_targets', (SELECT count(*) FROM (SELECT entity_id FROM owned GROUP BY ALL HAVING count(*) > 1))),
     ('missing_entities', (SELECT count(*) FROM rec WHERE src = 1 AND entity_id NOT IN (SELECT entity_id FROM assigned))), ('missing_targets', (SELECT count(*) FROM rec WHERE src > 1 AND entity_id NOT IN (SELECT entity_id FROM owned))),
     ('pairs_across_splits', (SELECT count(*) FROM pairs p JOIN assigned a ON a.entity_id = p.source1_entity_id JOIN owned o ON o.entity_id = p.candidate_entity_id WHERE a.split <> o.split)),
     ('truth_without_assignment', (SELECT count(*) FROM truth WHERE source1_entity_id NOT IN (SELECT entity_id FROM assigned))),
-    ('unknown_entity_splits', (SELECT count(*) FROM assigned WHERE split NOT IN ('train', 'validation', 'local_test'))), ('unknown_target_splits', (SELECT count(*) FROM owned WHERE split NOT IN ('train', 'validation', 'local_test')))) v("check", violations)"""))
+    ('unknown_entity_splits', (SELECT count(*) FROM assigned WHERE split NOT IN ('train', 'validation', 'local_test'))), ('unknown_target_splits', (SELECT count(*) FROM owned WHERE split NOT IN ('train', 'validation', 'local_test')))) v("check", violations)"""
+
+
+@query(sql("rec owned assigned pairs truth", _SPLIT_CHECKS))
 def split_verification(x: Fixture) -> DataFrame:
     return splits.verification(x.source(1), x.raw_targets(), x.truth(), split_assignment(x), target_assignment(x))
 
@@ -412,24 +471,31 @@ def match_histogram(x: Fixture) -> DataFrame:
 _CHECKS = "blank_ids wrong_prefixes repeated_ids repeated_truth_rows truth_of_unknown_entities entities_without_truth unknown_targets targets_with_two_owners lists_with_repeats lists_with_blanks".split()
 
 
-@query(sql("allrec truth pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', ({s})::BIGINT)" for n, s in zip(_CHECKS, [
+_CONTRACT = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', ({s})::BIGINT)" for n, s in zip(_CHECKS, [
     "SELECT count(*) FROM allrec WHERE trim(coalesce(entity_id, '')) = ''", "SELECT count(*) FROM allrec WHERE NOT starts_with(entity_id, 'S' || right(source, 1) || '-')",
     "SELECT count(*) FROM (SELECT 1 FROM allrec GROUP BY source, entity_id HAVING count(*) > 1)", "SELECT count(*) FROM (SELECT 1 FROM truth GROUP BY source1_entity_id HAVING count(*) > 1)",
     "SELECT count(*) FROM truth WHERE source1_entity_id NOT IN (SELECT entity_id FROM allrec WHERE source = 'source1')", "SELECT count(*) FROM allrec WHERE source = 'source1' AND entity_id NOT IN (SELECT source1_entity_id FROM truth)",
     "SELECT count(*) FROM pairs WHERE candidate_entity_id NOT IN (SELECT entity_id FROM allrec WHERE source <> 'source1')", "SELECT count(*) FROM (SELECT 1 FROM pairs GROUP BY candidate_entity_id HAVING count(DISTINCT source1_entity_id) > 1)",
     "SELECT count(*) FROM truth WHERE matched_entity_ids <> '' AND len(string_split(matched_entity_ids, ',')) <> len(list_distinct(string_split(matched_entity_ids, ',')))", "SELECT count(*) FROM truth WHERE matched_entity_ids <> '' AND list_contains(string_split(matched_entity_ids, ','), '')",
-], strict=True)) + ') v("check", violations)'))
+], strict=True)) + ') v("check", violations)'
+
+
+@query(sql("allrec truth pairs", _CONTRACT))
 def contract_violations(x: Fixture) -> DataFrame:
     return audit.contract_violations(x.records.select("entity_id", F.concat(F.lit("source"), F.col("src")).alias("source")), x.truth())
 
 
-@query(sql("dealt pairs", """SELECT entity_id, source, CAST(fold AS BIGINT) AS fold, CASE WHEN source = 'source1' THEN entity_id ELSE 'unmatched:' || entity_id END AS entity_group FROM dealt
-    UNION ALL SELECT p.candidate_entity_id, CASE WHEN starts_with(p.candidate_entity_id, 'S2-') THEN 'source2' ELSE 'source3' END, CAST(d.fold AS BIGINT), p.source1_entity_id FROM pairs p JOIN dealt d ON d.entity_id = p.source1_entity_id"""))
+@query(sql("manifest", "SELECT * FROM manifest"))
 def fold_manifest(x: Fixture) -> DataFrame:
     return splits.fold_manifest(x.source(1), x.raw_targets(), x.truth(), 5, 20260925)
 
 
-@query(sql("truth", "SELECT * FROM (VALUES ('repeated', 0::BIGINT), ('out_of_range', 0::BIGINT), ('missing', 0::BIGINT), ('unknown', 0::BIGINT), ('leaking', 0::BIGINT)) v(\"check\", violations)"))
+_FOLD_CHECKS = """SELECT * FROM (VALUES ('repeated', (SELECT count(*) FROM (SELECT 1 FROM manifest GROUP BY entity_id HAVING count(*) > 1))), ('out_of_range', (SELECT count(*) FROM manifest WHERE fold < 0 OR fold >= 5)),
+    ('missing', (SELECT count(*) FROM rec WHERE entity_id NOT IN (SELECT entity_id FROM manifest))), ('unknown', (SELECT count(*) FROM manifest WHERE entity_id NOT IN (SELECT entity_id FROM rec))),
+    ('leaking', (SELECT count(*) FROM pairs p JOIN manifest a ON a.entity_id = p.source1_entity_id JOIN manifest b ON b.entity_id = p.candidate_entity_id WHERE a.fold <> b.fold))) v("check", violations)"""
+
+
+@query(sql("rec manifest pairs", _FOLD_CHECKS))
 def fold_problems(x: Fixture) -> DataFrame:
     return splits.fold_problems(fold_manifest(x), x.records.select("entity_id"), x.truth(), 5)
 
@@ -444,8 +510,16 @@ def submission_candidates(x: Fixture) -> DataFrame:
     return submission.candidate_lists(x.entities(), x.candidates())
 
 
-@query(sql("scores", """SELECT * FROM (VALUES ('missing_match_rows', 0::BIGINT), ('missing_candidate_rows', 0::BIGINT), ('unknown_match_rows', 0::BIGINT), ('unknown_candidate_rows', 0::BIGINT), ('repeated_match_rows', 0::BIGINT), ('repeated_candidate_rows', 0::BIGINT), ('unknown_candidates', 0::BIGINT), ('matches_outside_candidates', 0::BIGINT), ('repeated_matches', 0::BIGINT),
-    ('targets_matched_twice', (SELECT count(*) FROM (SELECT 1 FROM scores WHERE score >= 0.5 GROUP BY candidate_entity_id HAVING count(DISTINCT source1_entity_id) > 1)))) v("check", violations)"""))
+_IN_LISTS = "SELECT source1_entity_id, unnest(string_split({c}, ',')) AS candidate_entity_id FROM {t} WHERE {c} <> ''"
+_MATCH_ITEMS, _OFFER_ITEMS = _IN_LISTS.format(c="matched_entity_ids", t="matched"), _IN_LISTS.format(c="candidate_entity_ids", t="offered")
+_SUBMISSION = f"""SELECT * FROM (VALUES ('missing_match_rows', (SELECT count(*) FROM q WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM matched))), ('missing_candidate_rows', (SELECT count(*) FROM q WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM offered))),
+    ('unknown_match_rows', (SELECT count(*) FROM matched WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM q))), ('unknown_candidate_rows', (SELECT count(*) FROM offered WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM q))),
+    ('repeated_match_rows', (SELECT count(*) FROM (SELECT 1 FROM matched GROUP BY source1_entity_id HAVING count(*) > 1))), ('repeated_candidate_rows', (SELECT count(*) FROM (SELECT 1 FROM offered GROUP BY source1_entity_id HAVING count(*) > 1))),
+    ('unknown_candidates', (SELECT count(*) FROM ({_OFFER_ITEMS}) WHERE candidate_entity_id NOT IN (SELECT candidate_entity_id FROM t))), ('matches_outside_candidates', (SELECT count(*) FROM ({_MATCH_ITEMS}) m ANTI JOIN ({_OFFER_ITEMS}) c USING (source1_entity_id, candidate_entity_id))),
+    ('repeated_matches', (SELECT count(*) FROM (SELECT 1 FROM ({_MATCH_ITEMS}) GROUP BY source1_entity_id, candidate_entity_id HAVING count(*) > 1))), ('targets_matched_twice', (SELECT count(*) FROM (SELECT 1 FROM ({_MATCH_ITEMS}) GROUP BY candidate_entity_id HAVING count(DISTINCT source1_entity_id) > 1)))) v("check", violations)"""
+
+
+@query(sql("q t matched offered", _SUBMISSION))
 def submission_checks(x: Fixture) -> DataFrame:
     return submission.checks(submission_matches(x), submission_candidates(x), x.entities(), x.targets())
 
@@ -460,3 +534,64 @@ def matcher_scores(x: Fixture) -> DataFrame:
     made.unpersist()
     every = features.pair_features(features.ranked(x.candidates()), q, t).transform(sampling.folded)
     return learning.score_pairs(every, models)
+
+
+def _damaged(df: DataFrame, key: str, **changes: str) -> DataFrame:
+    """Rows whose key ends with 7 are gone, those with 13 come twice, and those with 1 are changed as told."""
+    kept = df.where(~F.col(key).endswith("7"))
+    twice = kept.unionByName(kept.where(F.col(key).endswith("13")))
+    return twice.withColumns({c: F.when(F.col(key).endswith("1"), F.expr(e)).otherwise(F.col(c)) for c, e in changes.items()})
+
+
+def _damaged_sql(step: str, key: str, **changes: str) -> tuple[str, str]:
+    """The same of a step of that name, which is kept under another."""
+    replaced = ", ".join(f"CASE WHEN ends_with({key}, '1') THEN {e} ELSE {c} END AS {c}" for c, e in changes.items())
+    return f"whole_{step}", f"SELECT * {f'REPLACE ({replaced})' if replaced else ''} FROM (SELECT * FROM whole_{step} WHERE NOT ends_with({key}, '7') UNION ALL SELECT * FROM whole_{step} WHERE ends_with({key}, '13'))"
+
+
+def _whole(*steps: str) -> dict[str, tuple[str, str]]:
+    return {f"whole_{s}": STEPS[s] for s in steps}
+
+
+@query(sql("rec manifest pairs", _FOLD_CHECKS, _whole("manifest") | {"manifest": _damaged_sql("manifest", "entity_id", fold="fold + 3")}))
+def fold_problems_found(x: Fixture) -> DataFrame:
+    """The checks of folds on a manifest with planted faults."""
+    bad = _damaged(fold_manifest(x).withColumn("fold", F.col("fold").cast("long")), "entity_id", fold="fold + 3")
+    return splits.fold_problems(bad, x.records.select("entity_id"), x.truth(), 5)
+
+
+_BAD_LISTS = {"matched": _damaged_sql("matched", "source1_entity_id", matched_entity_ids="'S2-0,S2-0,X-1'"), "offered": _damaged_sql("offered", "source1_entity_id", source1_entity_id="'X' || source1_entity_id", candidate_entity_ids="'S2-1,X-2'")}
+
+
+@query(sql("q t matched offered", _SUBMISSION, _whole("matched", "offered") | _BAD_LISTS))
+def submission_checks_found(x: Fixture) -> DataFrame:
+    """The checks of result tables on tables with planted faults."""
+    matched = _damaged(submission_matches(x), "source1_entity_id", matched_entity_ids="'S2-0,S2-0,X-1'")
+    offered = submission_candidates(x).withColumn("key", F.col("source1_entity_id"))
+    offered = _damaged(offered, "key", source1_entity_id="concat('X', source1_entity_id)", candidate_entity_ids="'S2-1,X-2'").drop("key")
+    return submission.checks(matched, offered, x.entities(), x.targets())
+
+
+_BAD_TRUTH = {
+    "allrec": _damaged_sql("allrec", "entity_id", source="'source2'"), "truth": _damaged_sql("truth", "source1_entity_id", matched_entity_ids="'S2-1,,S2-1,S3-2'"),
+    "pairs": ("truth", "SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')) AS candidate_entity_id FROM truth WHERE matched_entity_ids <> ''"),
+    "whole_pairs": STEPS["pairs"], "whole_truth": (STEPS["truth"][0].replace("pairs", "whole_pairs"), STEPS["truth"][1].replace("FROM pairs", "FROM whole_pairs")),
+}
+
+
+@query(sql("allrec truth pairs", _CONTRACT, _whole("allrec") | _BAD_TRUTH))
+def contract_violations_found(x: Fixture) -> DataFrame:
+    """The checks of the contract on records and truth with planted faults."""
+    records = _damaged(x.records.select("entity_id", F.concat(F.lit("source"), F.col("src")).alias("source")), "entity_id", source="'source2'")
+    return audit.contract_violations(records, _damaged(x.truth(), "source1_entity_id", matched_entity_ids="'S2-1,,S2-1,S3-2'"))
+
+
+_BAD_SPLITS = {"assigned": _damaged_sql("assigned", "entity_id", split="'elsewhere'"), "owned": _damaged_sql("owned", "entity_id", split="'validation'")}
+_BAD_SPLITS["whole_owned"] = (STEPS["owned"][0].replace("assigned", "whole_assigned"), STEPS["owned"][1].replace("JOIN assigned", "JOIN whole_assigned"))
+
+
+@query(sql("rec owned assigned pairs truth", _SPLIT_CHECKS, _whole("assigned") | _BAD_SPLITS))
+def split_faults_found(x: Fixture) -> DataFrame:
+    """The checks of splits on assignments with planted faults."""
+    entities, owned = split_assignment(x), target_assignment(x)
+    return splits.verification(x.source(1), x.raw_targets(), x.truth(), _damaged(entities, "entity_id", split="'elsewhere'"), _damaged(owned, "entity_id", split="'validation'"))

@@ -60,9 +60,10 @@ STEPS: dict[str, tuple[str, str]] = {
         QUALIFY row_number() OVER (PARTITION BY source1_entity_id, candidate_source ORDER BY fuzzy_score DESC, shared_blocking_keys DESC, candidate_entity_id) <= 50"""),
     "final": ("exact fuzzy", f"""SELECT {PAIR}, max(exact_name) AS exact_name, max(exact_address) AS exact_address, max(fuzzy_score) AS fuzzy_score, max(shared_blocking_keys) AS shared_blocking_keys FROM (
         SELECT {PAIR}, exact_name, exact_address, 0.0::DOUBLE AS fuzzy_score, 0 AS shared_blocking_keys FROM exact UNION ALL SELECT {PAIR}, 0, 0, fuzzy_score, shared_blocking_keys FROM fuzzy) GROUP BY ALL"""),
-    "strong": ("final", "SELECT *, 0.0::DOUBLE AS char_name_score, round(4.0::DOUBLE * exact_name + 4.0::DOUBLE * exact_address + 0.10::DOUBLE * ln(1.0::DOUBLE + greatest(fuzzy_score, 0.0)) + 0.01::DOUBLE * shared_blocking_keys, 9) AS block_strength FROM final"),
+    "offered_by_rules": ("final", "SELECT *, 0.0::DOUBLE AS char_name_score FROM final"),
+    "strong": ("offered_by_rules", "SELECT *, round(4.0::DOUBLE * exact_name + 4.0::DOUBLE * exact_address + 0.10::DOUBLE * ln(1.0::DOUBLE + greatest(fuzzy_score, 0.0)) + 2.0::DOUBLE * char_name_score + 0.01::DOUBLE * shared_blocking_keys, 9) AS block_strength FROM offered_by_rules"),
     "ranked": ("strong", """SELECT *, row_number() OVER (PARTITION BY source1_entity_id, candidate_source ORDER BY block_strength DESC, candidate_entity_id) AS candidate_rank_source,
-        count(*) OVER (PARTITION BY source1_entity_id) AS candidate_count, count(*) OVER (PARTITION BY source1_entity_id, candidate_source) AS source_candidate_count FROM strong"""),
+        count(*) OVER (PARTITION BY source1_entity_id) AS candidate_count, count(*) OVER (PARTITION BY source1_entity_id, candidate_source) AS source_candidate_count, max(char_name_score) OVER (PARTITION BY source1_entity_id) AS best_retrieval FROM strong"""),
     "scores": ("strong", f"SELECT {PAIR}, round(block_strength / (1.0::DOUBLE + block_strength), 9) AS score FROM strong"),
     "hits": ("scores pairs", "SELECT scores.*, pairs.candidate_entity_id AS hit FROM scores LEFT JOIN pairs USING (source1_entity_id, candidate_entity_id)"),
     "sample_ranked": ("ranked pairs", f"""SELECT *, row_number() OVER (g ORDER BY block_strength DESC, candidate_entity_id) AS by_strength,
@@ -93,20 +94,22 @@ STEPS: dict[str, tuple[str, str]] = {
     "dealt": ("strata", "SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY sha256(seed || ':' || entity_id), entity_id) - 1) % 5 AS fold FROM strata"),
     "matched": ("truth scores", "SELECT source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM truth LEFT JOIN (SELECT source1_entity_id, string_agg(candidate_entity_id, ',' ORDER BY candidate_entity_id) AS ids FROM scores WHERE score >= 0.5 GROUP BY ALL) USING (source1_entity_id)"),
     "offered": ("truth final", "SELECT source1_entity_id, coalesce(ids, '') AS candidate_entity_ids FROM truth LEFT JOIN (SELECT source1_entity_id, string_agg(candidate_entity_id, ',' ORDER BY candidate_entity_id) AS ids FROM final GROUP BY ALL) USING (source1_entity_id)"),
+    "manifest": ("dealt pairs", """SELECT entity_id, source, CAST(fold AS BIGINT) AS fold, CASE WHEN source = 'source1' THEN entity_id ELSE 'unmatched:' || entity_id END AS entity_group FROM dealt
+        UNION ALL SELECT p.candidate_entity_id, CASE WHEN starts_with(p.candidate_entity_id, 'S2-') THEN 'source2' ELSE 'source3' END, CAST(d.fold AS BIGINT), p.source1_entity_id FROM pairs p JOIN dealt d ON d.entity_id = p.source1_entity_id"""),
     "allrec": ("rec", "SELECT entity_id, 'source' || src AS source, business_name, business_address, country FROM rec"),
 }
 
 
-def sql(steps: str, select: str) -> str:
-    """A query with the named steps, and those that they read, as CTEs."""
-    need: list[str] = []
+def sql(steps: str, select: str, other: dict[str, tuple[str, str]] | None = None) -> str:
+    """A query with the named steps, and those that they read, as CTEs. other: steps that stand in for those named so."""
+    known, need = STEPS | (other or {}), []
 
     def add(name: str) -> None:
-        for n in STEPS[name][0].split():
+        for n in known[name][0].split():
             add(n)
         if name not in need:
             need.append(name)
 
     for name in steps.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n][1]})" for n in need) + f"\n{select}"
+    return "WITH " + ",\n".join(f"{n} AS ({known[n][1]})" for n in need) + f"\n{select}"

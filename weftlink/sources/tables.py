@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,18 @@ def write_table(df: DataFrame, path: str, order: tuple[str, ...] = (), overwrite
     (df.orderBy(*order) if order else df).write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once, in the folder that all executors share (spark.checkpoint.dir; in one process, where that is
+    unset, a folder of our own), and read from there: its lineage is cut and no reader computes it again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{root or 'file://' + tempfile.mkdtemp(prefix='weftlink-')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_evidence(candidates: DataFrame) -> DataFrame:
     """Candidates with all evidence columns, absent and null ones at their defaults."""
     return candidates.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in candidates.columns else F.lit(v) for c, v in EVIDENCE.items()})
