@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,9 +75,14 @@ def field_text(name: Column, address: Column) -> Column:
     return F.concat_ws(" ", F.lit("name"), name, F.lit("address"), address)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, not again for each element of a lambda in body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def grams(text: Column, low: int, high: int) -> Column:
     """All character n-grams of low to high characters, spaces included, case kept."""
-    return F.flatten(F.array(*[_of(text, n) for n in range(low, high + 1)]))
+    return _once(text, lambda t: F.flatten(F.array(*[_of(t, n) for n in range(low, high + 1)])))
 
 
 def _of(text: Column, n: int) -> Column:
@@ -87,18 +93,20 @@ def _of(text: Column, n: int) -> Column:
 def word_grams(text: Column, low: int, high: int) -> Column:
     """Character n-grams inside words, each word between two spaces; a short word gives itself once."""
     def of(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.flatten(F.array(*[F.when(F.length(padded) <= n, F.when(F.lit(n == low) | (F.length(padded) >= n), F.array(padded)).otherwise(F.array().cast("array<string>"))).otherwise(_of(padded, n)) for n in range(low, high + 1)]))
+        one = lambda padded, n: F.when(F.length(padded) <= n, F.when(F.lit(n == low) | (F.length(padded) >= n), F.array(padded)).otherwise(F.array().cast("array<string>"))).otherwise(_of(padded, n))
+        return _once(F.concat(F.lit(" "), word, F.lit(" ")), lambda padded: F.flatten(F.array(*[one(padded, n) for n in range(low, high + 1)])))
 
     return F.flatten(F.transform(tokens(text), of))
 
 
 def word_pairs(text: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    words = tokens(text)
-    n = F.size(words)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(words, pairs)
+
+    return _once(tokens(text), of)
 
 
 def md5_number(text: Column) -> Column:

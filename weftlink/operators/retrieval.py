@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import text as tx
+from weftlink.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -46,15 +47,46 @@ def weights(records: DataFrame, ids: list[str], group: list[str], grams: Column,
     return raw.join(norm, [*ids, *group]).select(*ids, *group, "gram", "df", (F.col("raw") / F.col("norm")).alias("weight")), frequency
 
 
-def _cosine(queries: DataFrame, targets: DataFrame, group: list[str], grams, config: RetrievalConfig) -> DataFrame:
-    right, frequency = weights(targets, ["candidate_entity_id", "candidate_source"], group, grams)
-    size = targets.select("candidate_source").distinct() if "candidate_source" in group else None
+def _vectors(queries: DataFrame, targets: DataFrame, group: list[str], grams, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of queries, one for each source's frequencies, and of targets: (id, group, gram, df, weight)."""
+    right, frequency = weights(targets, ["candidate_entity_id"], group, grams)
     sizes = targets.groupBy(*group).agg(F.count("*").alias("n")) if config.unseen else None
-    left, _ = weights(queries.crossJoin(F.broadcast(size)) if size is not None else queries, ["source1_entity_id"], group, grams, frequency, sizes)
-    if config.max_df:
-        left = left.where(F.col("df") <= config.max_df)
-    both = left.select("source1_entity_id", *group, "gram", F.col("weight").alias("wq")).join(right.select("candidate_entity_id", *(["candidate_source"] if "candidate_source" not in group else []), *group, "gram", F.col("weight").alias("wt")), [*group, "gram"])
-    return both.groupBy("source1_entity_id", "candidate_entity_id", "candidate_source").agg(F.sum(F.col("wq") * F.col("wt")).alias("cosine"))
+    left, _ = weights(queries.crossJoin(F.broadcast(targets.select("candidate_source").distinct())), ["source1_entity_id"], group, grams, frequency, sizes)
+    return left, right
+
+
+def _fused(queries: DataFrame, targets: DataFrame, group: list[str], of, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors over the grams of both fields, a field's part weighing its share of those that the record has."""
+    a = config.address_weight
+    name, address = _vectors(queries, targets, group, of(F.col("name")), config), _vectors(queries, targets, group, tx.word_pairs(F.col("address")), config)
+    out = []
+    for records, k, one, other in zip((queries, targets), ("source1_entity_id", "candidate_entity_id"), name, address, strict=True):
+        has = F.when(F.col("name") != "", 1 - a).otherwise(0.0) + F.when(F.col("address") != "", a).otherwise(0.0)
+        part = lambda df, field, share: df.withColumns({"gram": F.concat(F.lit(field), "gram"), "weight": F.col("weight") * F.sqrt(F.lit(share))})
+        both = part(one, "n:", 1 - a).unionByName(part(other, "a:", a)).join(records.select(k, has.alias("has")), k)
+        out.append(both.withColumn("weight", F.col("weight") / F.sqrt("has")).drop("has"))
+    return out[0], out[1]
+
+
+def _cosine(left: DataFrame, right: DataFrame, group: list[str], floor: float, max_df: int | None) -> DataFrame:
+    """The cosine of each pair that can reach `floor`. A query's commonest grams, as long as their part of its vector is
+    shorter than the floor, can't bring a pair there on their own (a target's vector has length 1): they join nothing
+    until the other grams have found the pairs, and then only those pairs that they can still lift to the floor."""
+    pair, query = ["source1_entity_id", "candidate_entity_id", *group], ["source1_entity_id", *group]
+    if max_df:
+        left = left.where(F.col("df") <= max_df)
+    so_far = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*query).orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0))
+    low = max(floor - 1e-8, 0.0)
+    left = stored(left.withColumn("common", so_far < low * low), "grams")
+    right = stored(right.select("candidate_entity_id", *group, "gram", F.col("weight").alias("wt")), "postings")
+    rest = F.sqrt(F.sum(F.when(F.col("common"), F.col("weight") * F.col("weight")).otherwise(0.0)))
+    rare = left.where(~F.col("common")).select(*query, "gram", F.col("weight").alias("wq"))
+    common = left.where("common").select(*query, "gram", F.col("weight").alias("wq"))
+    dot = F.sum(F.col("wq") * F.col("wt"))
+    found = rare.join(right, [*group, "gram"]).groupBy(*pair).agg(dot.alias("part")).join(left.groupBy(*query).agg(rest.alias("rest")), query)
+    found = stored(found.where(F.col("part") + F.col("rest") >= low).select(*pair, "part"), "pairs")
+    more = found.select(*pair).join(common, query).join(right, ["candidate_entity_id", *group, "gram"]).groupBy(*pair).agg(dot.alias("more"))
+    return found.join(more, pair, "left").select("source1_entity_id", "candidate_entity_id", "candidate_source", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("cosine"))
 
 
 def top_k(queries: DataFrame, targets: DataFrame, config: RetrievalConfig = RetrievalConfig(), by_country: bool = True, grams=None) -> DataFrame:
@@ -62,16 +94,8 @@ def top_k(queries: DataFrame, targets: DataFrame, config: RetrievalConfig = Retr
     rounded to nine places. grams: a function of a text column; by default all n-grams of the name."""
     group = ["candidate_source", *["country"] * by_country]
     of = grams or (lambda c: tx.grams(c, config.low, config.high))
-    a = config.address_weight
-    score = _cosine(queries, targets, group, of(F.col("name")), config)
-    if a:
-        address = _cosine(queries, targets, group, tx.word_pairs(F.col("address")), config).withColumnRenamed("cosine", "cosine_a")
-        pair = ["source1_entity_id", "candidate_entity_id", "candidate_source"]
-        has = lambda df, k: df.select(k, (F.col("name") != "").alias(f"{k}_n"), (F.col("address") != "").alias(f"{k}_a"))
-        joined = score.join(address, pair, "full").join(has(queries, "source1_entity_id"), "source1_entity_id").join(has(targets, "candidate_entity_id"), "candidate_entity_id")
-        norm = lambda k: F.sqrt(F.when(F.col(f"{k}_n"), 1 - a).otherwise(0.0) + F.when(F.col(f"{k}_a"), a).otherwise(0.0))
-        total = (1 - a) * F.coalesce("cosine", F.lit(0.0)) + a * F.coalesce("cosine_a", F.lit(0.0))
-        score = joined.select(*pair, (total / (norm("source1_entity_id") * norm("candidate_entity_id"))).alias("cosine"))
+    left, right = _fused(queries, targets, group, of, config) if config.address_weight else _vectors(queries, targets, group, of(F.col("name")), config)
+    score = _cosine(left, right, group, config.min_similarity, config.max_df)
     rounded = score.withColumn("char_name_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))), 9)).drop("cosine")
     order = Window.partitionBy("source1_entity_id", "candidate_source").orderBy(F.desc("char_name_score"), "candidate_entity_id")
     kept = rounded.where(F.col("char_name_score") >= config.min_similarity).withColumn("rank", F.row_number().over(order))

@@ -79,7 +79,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     src = (1 + F.col("doc_id") % 3).cast("int")
     return Fixture(doc.select(
         F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), src.alias("src"),
-        F.left("text", F.lit(48)).alias("business_name"), F.substring("text", 49, 80).alias("business_address"), F.col("lang").alias("country"),
+        F.left("text", F.lit(48)).alias("business_name"), F.expr("substr(text, 49)").alias("business_address"), F.col("lang").alias("country"),
     ))
 
 

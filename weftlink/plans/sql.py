@@ -40,7 +40,7 @@ PAIR = "source1_entity_id, candidate_entity_id, candidate_source"
 KEY = "candidate_source, country, key_type, key"
 #: name: (steps that it reads, select)
 STEPS: dict[str, tuple[str, str]] = {
-    "rec": ("", "SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, 1 + doc_id % 3 AS src, left(text, 48) AS business_name, substr(text, 49, 80) AS business_address, lang AS country FROM documents"),
+    "rec": ("", "SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, 1 + doc_id % 3 AS src, left(text, 48) AS business_name, substr(text, 49) AS business_address, lang AS country FROM documents"),
     "q": ("rec", f"SELECT entity_id AS source1_entity_id, country, {norm('business_name')} AS name, {norm('business_address')} AS address FROM rec WHERE src = 1"),
     "t": ("rec", f"SELECT entity_id AS candidate_entity_id, 'source' || src AS candidate_source, country, {norm('business_name')} AS name, {norm('business_address')} AS address FROM rec WHERE src > 1"),
     "keyed": ("rec", f"SELECT * FROM (SELECT entity_id, src, country, {norm('left(business_name, 24)')} AS key FROM rec) WHERE key <> ''"),
