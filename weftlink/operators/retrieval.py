@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from weftlink.functions import text as tx
 from weftlink.sources.tables import stored
 
+PER_LIST = 1024
+
 
 @dataclass(frozen=True)
 class RetrievalConfig:
@@ -71,21 +73,25 @@ def _fused(queries: DataFrame, targets: DataFrame, group: list[str], of, config:
 def _cosine(left: DataFrame, right: DataFrame, group: list[str], floor: float, max_df: int | None) -> DataFrame:
     """The cosine of each pair that can reach `floor`. A query's commonest grams, as long as their part of its vector is
     shorter than the floor, can't bring a pair there on their own (a target's vector has length 1): they join nothing
-    until the other grams have found the pairs, and then only those pairs that they can still lift to the floor."""
+    until the other grams have found the pairs, and then only those pairs that they can still lift to the floor. A
+    gram's targets travel to the queries as lists of about PER_LIST, unfolded only where a query's pairs are summed."""
     pair, query = ["source1_entity_id", "candidate_entity_id", *group], ["source1_entity_id", *group]
     if max_df:
         left = left.where(F.col("df") <= max_df)
     so_far = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*query).orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0))
     low = max(floor - 1e-8, 0.0)
     left = stored(left.withColumn("common", so_far < low * low), "grams")
-    right = stored(right.select("candidate_entity_id", *group, "gram", F.col("weight").alias("wt")), "postings")
+    right = stored(right.select("candidate_entity_id", *group, "gram", "df", F.col("weight").alias("wt")), "postings")
     rest = F.sqrt(F.sum(F.when(F.col("common"), F.col("weight") * F.col("weight")).otherwise(0.0)))
     rare = left.where(~F.col("common")).select(*query, "gram", F.col("weight").alias("wq"))
     common = left.where("common").select(*query, "gram", F.col("weight").alias("wq"))
     dot = F.sum(F.col("wq") * F.col("wt"))
-    found = rare.join(right, [*group, "gram"]).groupBy(*pair).agg(dot.alias("part")).join(left.groupBy(*query).agg(rest.alias("rest")), query)
+    part = F.pmod(F.xxhash64("candidate_entity_id"), F.ceil(F.col("df") / PER_LIST))
+    lists = right.groupBy(*group, "gram", part.alias("part")).agg(F.collect_list(F.struct("candidate_entity_id", "wt")).alias("list"))
+    met = rare.join(lists, [*group, "gram"]).select(*query, "wq", "list").repartition(*query)
+    found = met.select(*query, "wq", F.inline("list")).groupBy(*pair).agg(dot.alias("part")).join(left.groupBy(*query).agg(rest.alias("rest")), query)
     found = stored(found.where(F.col("part") + F.col("rest") >= low).select(*pair, "part"), "pairs")
-    more = found.select(*pair).join(common, query).join(right, ["candidate_entity_id", *group, "gram"]).groupBy(*pair).agg(dot.alias("more"))
+    more = found.select(*pair).join(common, query).join(right.drop("df"), ["candidate_entity_id", *group, "gram"]).groupBy(*pair).agg(dot.alias("more"))
     return found.join(more, pair, "left").select("source1_entity_id", "candidate_entity_id", "candidate_source", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("cosine"))
 
 
