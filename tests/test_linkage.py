@@ -1,5 +1,7 @@
 """Small exact cases for what SQL can't check: text, similarity, contracts, folds, learning, files, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,56 @@ def test_grams(spark):
     assert row.p == ["ab", "cd", "ab cd"]
 
 
+def test_measures_of_long_texts(spark):
+    """Against the plain tables and scans, and over texts on both sides of the length from which bits are used."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    def matches(a, b):
+        reach, used, hits = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+        for i, c in enumerate(a):
+            j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == c), None)
+            if j is not None:
+                used.add(j)
+                hits.append(c)
+        other, m = [b[j] for j in sorted(used)], len(hits)
+        return (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(hits, other, strict=True)) // 2) / m) / 3 if m else 0.0
+
+    rng = random.Random(3)
+    made = [tuple("".join(rng.choice("abcé") for _ in range(rng.randint(1, n))) for _ in range(2)) for n in [12] * 300 + [200] * 8]
+    made += [("x" * 150 + "abc" + "y" * 90, "x" * 150 + "acb" + "y" * 90), ("z" * 140, "z" * 140)]
+    for a, b in made:
+        a, b = a.encode(), b.encode()
+        assert sim.edit_distance(a, b) == distance(a, b)
+        if a != b:
+            assert sim._jaro(a, b) == pytest.approx(matches(a, b))
+    df = spark.createDataFrame([*made, (None, "z" * 200)], "a string, b string")
+    got = [r.d for r in df.select(sim.byte_levenshtein(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [distance(a.encode(), b.encode()) for a, b in made] + [None]
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.1, 0.3, 0.6])
+def test_retrieval_finds_all_pairs_above_the_floor(spark, floor, monkeypatch):
+    """Common grams that join late change nothing: the same pairs as with a floor of 0, cut afterwards."""
+    monkeypatch.setattr(retrieval, "PER_LIST", 3)
+    rng, words = random.Random(5), [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(words[min(int(rng.expovariate(0.15)), 39)] for _ in range(rng.randint(1, 15)))
+    q = spark.createDataFrame([(f"S1-{i}", "x", text(), text()) for i in range(20)], "source1_entity_id string, country string, name string, address string")
+    t = spark.createDataFrame([(f"S2-{i}", "source2", "x", text(), text()) for i in range(30)], "candidate_entity_id string, candidate_source string, country string, name string, address string")
+    for a in (0.0, 0.35):
+        found = lambda f: {(r[0], r[1]): r.char_name_score for r in retrieval.top_k(q, t, retrieval.RetrievalConfig(min_similarity=f, address_weight=a), grams=tx.word_pairs).select("source1_entity_id", "candidate_entity_id", "char_name_score").collect()}  # noqa: B023, E731
+        everything = found(0.0)
+        want = {k: v for k, v in everything.items() if v >= floor}
+        got = found(floor)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
 def test_similarity_values():
     assert sim.jaro_winkler_bytes(b"martha", b"marhta") == pytest.approx(0.9611, abs=1e-4)
     assert sim.jaro_winkler_bytes(b"", b"") == 0
