@@ -87,6 +87,27 @@ def _table(ids, texts):
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
 
+def test_runs_travel_without_what_the_text_tells():
+    """A bucket's offer is well under its columns packed as they are, and gives the same runs back."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    text = " ".join(f"{w}" for w in rng.integers(0, 500, 20000))
+    key, groups = (pa.scalar(0, pa.int32()),), [_table([k], [text]) for k in (1, 2)]
+    sent = [suffixdedup._send_keys(1, 50)(key, g) for g in groups]
+    asked = pa.concat_tables([s.set_column(1, "g", pa.array([k] * s.num_rows, pa.int32())) for k, s in enumerate(sent)])
+    told = suffixdedup._match_keys(suffixdedup.HOT)(key, asked).slice(0, 1).rename_columns(["rbucket", "rg", "rkind", "rpayload"])
+    raw = suffixdedup._send_runs(1, 50)(key, groups[0], told).column("payload")[0].as_py()
+    e = suffixdedup._replies(suffixdedup.Group(groups[0], 50), told, 1)
+    data = np.frombuffer(text.encode(), np.uint8)
+    plain = [data[a : a + n + 49] for a, n in zip(e["start"], e["n"], strict=True)]
+    assert len(raw) < 0.85 * len(suffixdedup._pack(e["key"], e["hash"], e["doc"], e["n"].astype("u1"), np.concatenate(plain)))
+    k, d, n, back = suffixdedup._offered(raw)
+    assert (k == e["key"]).all() and (d == e["doc"]).all() and (n == e["n"]).all() and (back == np.concatenate(plain)).all()
+    size = n.astype(np.int64) + 49
+    assert (suffixdedup.hashes(back, np.cumsum(size) - size, size, 50 + suffixdedup.RUN) == e["hash"]).all()
+
+
 def test_buckets_are_even():
     rng = np.random.default_rng(3)
     words = [b"%d" % w for w in rng.integers(0, 5000, 60000)]

@@ -53,6 +53,15 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones and so on: bytes alike stand together."""
+    return np.ascontiguousarray(x).view("u1").reshape(len(x), x.dtype.itemsize).T.ravel()
+
+
+def _from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> np.ndarray:
     """The least q-gram hash in the window at each position at which a whole window starts."""
     if len(data) < length:
@@ -118,6 +127,23 @@ def leaders(new: np.ndarray, order: np.ndarray, text: np.ndarray, start: np.ndar
         new[rest[wrong]] = True
 
 
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Of size bytes, at most `most`, from each start on."""
+    out = np.zeros(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    inverse = pow(int(common._P), -1, 1 << 64)
+    for lo in range(0, len(data), SLICE):
+        a, b = np.searchsorted(start[order], [lo, lo + SLICE])
+        if a < b:
+            part = data[lo : lo + SLICE + most].astype(np.uint64) + np.uint64(1)
+            pw, back = common.powers(len(part)), common.powers(len(part), np.uint64(inverse))
+            pre = np.concatenate([[np.uint64(0)], np.cumsum(part * pw)])
+            k = order[a:b]
+            s = start[k] - lo
+            out[k] = common.mix((pre[s + size[k]] - pre[s]) * back[s] + size[k].astype(np.uint64))
+    return out
+
+
 class Group:
     """The runs of a group of documents, and which of them leave the group."""
 
@@ -162,20 +188,7 @@ class Group:
         return {"key": key[new], "hash": digest[new], "doc": doc[new], "start": start[new], "n": size[new], "of": entry, "at": start, "own": doc, "size": size}
 
     def _hash(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(start), np.uint64)
-        order = np.argsort(start, kind="stable")
-        inverse = pow(int(common._P), -1, 1 << 64)
-        most = self.length + RUN
-        for lo in range(0, len(self.data), SLICE):
-            a, b = np.searchsorted(start[order], [lo, lo + SLICE])
-            if a < b:
-                part = self.data[lo : lo + SLICE + most].astype(np.uint64) + np.uint64(1)
-                pw, back = common.powers(len(part)), common.powers(len(part), np.uint64(inverse))
-                pre = np.concatenate([[np.uint64(0)], np.cumsum(part * pw)])
-                k = order[a:b]
-                s = start[k] - lo
-                out[k] = common.mix((pre[s + size[k]] - pre[s]) * back[s] + size[k].astype(np.uint64))
-        return out
+        return hashes(self.data, start, size, self.length + RUN)
 
 
 def _buckets(key: np.ndarray, count: int) -> Iterator[tuple[int, int, int]]:
@@ -200,7 +213,7 @@ def _send_keys(buckets: int, length: int):
     def run(key, t):
         known, docs = Group(t, length).keys()
         many = docs > 1
-        return _table([(b, key[0].as_py(), 0, _pack(known[i:j], np.packbits(many[i:j]), docs[i:j][many[i:j]].astype("<i4"))) for b, i, j in _buckets(known, buckets)])
+        return _table([(b, key[0].as_py(), 0, _pack(_planes(np.diff(known[i:j], prepend=known[i : i + 1])), known[i : i + 1], np.packbits(many[i:j]), docs[i:j][many[i:j]].astype("<i4"))) for b, i, j in _buckets(known, buckets)])
 
     return run
 
@@ -209,7 +222,8 @@ def _match_keys(hot: int):
     def run(key, t):
         groups, known, docs = t.column("g").to_pylist(), [], []
         for raw in t.column("payload").to_pylist():
-            k, bits, counts = _unpack(raw, "<u8", "u1", "<i4")
+            step, first, bits, counts = _unpack(raw, "u1", "<u8", "u1", "<i4")
+            k = np.cumsum(_from_planes(step, "<u8"), dtype=np.uint64) + first[:1]
             n = np.ones(len(k), np.int64)
             n[np.unpackbits(bits, count=len(k)).astype(bool)] = counts
             known.append(k)
@@ -247,6 +261,12 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start, size) + inner
 
 
+def _offered(raw: bytes) -> tuple[np.ndarray, ...]:
+    """key, doc, n and text of the runs that a group sent; their hashes are made anew from the text."""
+    step, first, doc, n, text = _unpack(raw, "u1", "<u8", "u1", "u1", "u1")
+    return np.cumsum(_from_planes(step, "<u8"), dtype=np.uint64) + first[:1], _from_planes(doc, "<i8"), n, text
+
+
 def _send_runs(buckets: int, length: int):
     def run(key, left, right):
         if not left.num_rows:
@@ -256,7 +276,7 @@ def _send_runs(buckets: int, length: int):
         rows = []
         for b, i, j in _buckets(e["key"], buckets):
             text = group.data[spread(e["start"][i:j], e["n"][i:j] + length - 1)]
-            rows.append((b, key[0].as_py(), 2, _pack(e["key"][i:j], e["hash"][i:j], e["doc"][i:j], e["n"][i:j].astype("u1"), text)))
+            rows.append((b, key[0].as_py(), 2, _pack(_planes(np.diff(e["key"][i:j], prepend=e["key"][i : i + 1])), e["key"][i : i + 1], _planes(e["doc"][i:j]), e["n"][i:j].astype("u1"), text)))
         return _table(rows)
 
     return run
@@ -387,10 +407,11 @@ def window_classes(text: np.ndarray, n: np.ndarray, doc: np.ndarray, length: int
 
 def _settle(length: int, most: int = 1 << 20):
     def run(key, t):
-        groups, got = t.column("g").to_pylist(), [_unpack(raw, "<u8", "<u8", "<i8", "u1", "u1") for raw in t.column("payload").to_pylist()]
-        k, h, d, n, text = (np.concatenate(x) for x in zip(*got, strict=True))
+        groups, got = t.column("g").to_pylist(), [_offered(raw) for raw in t.column("payload").to_pylist()]
+        k, d, n, text = (np.concatenate(x) for x in zip(*got, strict=True))
         n = n.astype(np.int64)
         at = np.cumsum(n + length - 1) - n - length + 1
+        h = hashes(text, at, n + length - 1, length + RUN)
         order = np.lexsort((d, h, k))
         new = np.ones(len(k), bool)
         new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
@@ -418,7 +439,7 @@ def _settle(length: int, most: int = 1 << 20):
             own = run_of[a : a + len(x[0])]
             a += len(x[0])
             o = odd[own]
-            rows.append((key[0].as_py(), g, 3, _pack(np.packbits(o), d[rep[own[~o]]], value[spread(first[own[o]], n[rep[own[o]]])])))
+            rows.append((key[0].as_py(), g, 3, _pack(np.packbits(o), _planes(d[rep[own[~o]]]), _planes(value[spread(first[own[o]], n[rep[own[o]]])]))))
         return _table(rows)
 
     return run
@@ -434,7 +455,8 @@ def _remove(buckets: int, length: int):
             first = np.cumsum(e["n"]) - e["n"]
             least = np.full(int(e["n"].sum()), np.iinfo(np.int64).max)
             for b, i, j in _buckets(e["key"], buckets):
-                bits, whole, single = _unpack(got[b], "u1", "<i8", "<i8")
+                bits, whole, single = _unpack(got[b], "u1", "u1", "u1")
+                whole, single = _from_planes(whole, "<i8"), _from_planes(single, "<i8")
                 odd = np.unpackbits(bits, count=j - i).astype(bool)
                 at, n = first[i:j], e["n"][i:j]
                 least[spread(at[~odd], n[~odd])] = np.repeat(whole, n[~odd])
