@@ -144,6 +144,20 @@ def test_keys_and_equal_texts_need_little_shuffle(spark):
     assert found.where("exact_name = 1").count() == 16 and found.where("exact_address = 1").count() == 4
 
 
+@pytest.mark.parametrize("name", ["pair_features_numbers"])
+def test_features_of_parts_of_an_address_carry_those_alone(spark, sf_dir, monkeypatch, name):
+    """Addresses that are attached to pairs are runs of digits, or words without repeats."""
+    from weftlink.plans import registry
+
+    seen, attach = [], features.attach
+    monkeypatch.setattr(features, "attach", lambda c, q, t: seen.append((q, t)) or attach(c, q, t))
+    registry.QUERIES[name](spark, sf_dir)
+    for df in seen[0]:
+        for r in df.select("address").limit(40).collect():
+            words = r.address.split()
+            assert all(w.isdecimal() for w in words) if name.endswith("numbers") else len(words) == len(set(words))
+
+
 def test_similarity_values():
     assert sim.jaro_winkler_bytes(b"martha", b"marhta") == pytest.approx(0.9611, abs=1e-4)
     assert sim.jaro_winkler_bytes(b"", b"") == 0
