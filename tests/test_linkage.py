@@ -144,7 +144,7 @@ def test_keys_and_equal_texts_need_little_shuffle(spark):
     assert found.where("exact_name = 1").count() == 16 and found.where("exact_address = 1").count() == 4
 
 
-@pytest.mark.parametrize("name", ["pair_features_numbers"])
+@pytest.mark.parametrize("name", ["pair_features_numbers", "pair_features_tokens"])
 def test_features_of_parts_of_an_address_carry_those_alone(spark, sf_dir, monkeypatch, name):
     """Addresses that are attached to pairs are runs of digits, or words without repeats."""
     from weftlink.plans import registry
