@@ -144,6 +144,20 @@ def test_keys_and_equal_texts_need_little_shuffle(spark):
     assert found.where("exact_name = 1").count() == 16 and found.where("exact_address = 1").count() == 4
 
 
+def test_only_selected_keys_of_targets_travel(spark, monkeypatch):
+    """Target keys that no query selected don't reach the join; shared places of the table change no result."""
+    q = spark.createDataFrame([("S1-1", "x", "alpha", "lake 77")], "source1_entity_id string, country string, name string, address string")
+    rows = [(f"S2-{i}", "source2", "x", "alpha" if i < 2 else "other", f"lake {i} unmet words of many kinds{i}") for i in range(300)]
+    t = spark.createDataFrame(rows, "candidate_entity_id string, candidate_source string, country string, name string, address string")
+    seen, join = [], blocking.fuzzy_candidates
+    monkeypatch.setattr(blocking, "fuzzy_candidates", lambda s, k, c: seen.append(k) or join(s, k, c))
+    found = sorted(map(tuple, blocking.rule_candidates(q, t).collect()))
+    assert {r[1] for r in found} == {"S2-0", "S2-1"}
+    assert 6 <= seen[0].count() < 20
+    monkeypatch.setattr(blocking, "SLOTS", 2)
+    assert sorted(map(tuple, blocking.rule_candidates(q, t).collect())) == found
+
+
 @pytest.mark.parametrize("name", ["pair_features_numbers", "pair_features_tokens"])
 def test_features_of_parts_of_an_address_carry_those_alone(spark, sf_dir, monkeypatch, name):
     """Addresses that are attached to pairs are runs of digits, or words without repeats."""
