@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,30 @@ def test_retrieval_keeps_no_pairs(spark, monkeypatch):
     assert [r[:3] for r in one] == [r[:3] for r in many] and all(a[3] == pytest.approx(b[3], abs=2e-9) for a, b in zip(one, many, strict=True))
 
 
+def test_common_grams_are_summed_by_matrices(monkeypatch):
+    """Which grams count as common, and how many fit a matrix, changes no cosine; a gram of all targets is not added
+    target by target."""
+    rng = random.Random(7)
+    text = lambda: [1, 2, *{int(rng.expovariate(0.05)) + 3 for _ in range(25)}]
+    lists = [text() for _ in range(240)]
+    t = pa.table({"kind": pa.array([1] * 200 + [2] * 40, pa.int32()), "field": pa.array([-1] * 240, pa.int32()), "id": [f"S-{i:03}" for i in range(240)], "n": pa.array([200] * 240, pa.int64()), "same": pa.array(range(240), pa.int64()), "c0": pa.array(lists, pa.list_(pa.int64()))})
+    added, near = [], retrieval._nearest
+    monkeypatch.setattr(retrieval, "_nearest", lambda acc, own, w, first, *a: added.append(int((first[own + 1] - first[own]).max(initial=0))) or near(acc, own, w, first, *a))
+
+    def found(cells, common, floor, top):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        added.clear()
+        out = retrieval._score([1.0], retrieval.RetrievalConfig(top_k=top, min_similarity=floor))((pa.scalar("source2"),), t).to_pylist()
+        return {(r["source1_entity_id"], r["candidate_entity_id"]): r["cosine"] for r in out}, max(added)
+
+    for floor, top in ((0.0, 200), (0.3, 200), (0.1, 5)):
+        (plain, most), *others = [found(*x, floor, top) for x in ((0, 16), (1 << 23, 16), (900, 4), (1 << 23, 1 << 30))]
+        assert most == 200 and others[0][1] <= 200 // 16 and others[1][1] < 200 and plain
+        for got, _ in others:
+            assert set(got) == set(plain) and all(got[k] == pytest.approx(plain[k], abs=1e-12) for k in plain)
+
+
 def test_keys_and_equal_texts_need_little_shuffle(spark):
     """Keys of records with ids of their own are exploded where the records are, and joins carry no texts; repeated ids
     still have each key once."""
