@@ -1,5 +1,6 @@
 """Small exact cases for what SQL can't check: text, similarity, contracts, folds, learning, files, streams."""
 
+import collections
 import random
 
 import pyarrow as pa
@@ -151,6 +152,24 @@ def test_common_grams_are_summed_by_matrices(monkeypatch):
             assert set(got) == set(plain) and all(got[k] == pytest.approx(plain[k], abs=1e-12) for k in plain)
 
 
+def test_grams_of_one_target_needn_t_be_listed():
+    """A block with the frequencies of the group's grams, but for those of one target that no query has, finds what a block
+    finds that counts them itself."""
+    rng = random.Random(11)
+    lists = [[*{int(rng.expovariate(0.03)) for _ in range(20)}, 1000 + i] for i in range(60)]
+    schema = pa.schema([("kind", pa.int32()), ("field", pa.int32()), ("id", pa.string()), ("n", pa.int64()), ("same", pa.int64()), ("c0", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))])
+    rows = [{"kind": 1 + (i >= 50), "field": -1, "id": f"S-{i}", "n": 50, "same": i, "c0": c, "df": None} for i, c in enumerate(lists)]
+    df = collections.Counter(c for one in lists[:50] for c in one)
+    asked = {c for one in lists[50:] for c in one}
+    listed = {c: k for c, k in df.items() if k > 1 or c in asked}
+    assert len(listed) < len(df)
+    terms = {"kind": 0, "field": 0, "id": "", "n": 50, "same": 0, "c0": list(listed), "df": list(listed.values())}
+    run = retrieval._score([1.0], retrieval.RetrievalConfig(top_k=7))
+    found = lambda rows: {(r["source1_entity_id"], r["candidate_entity_id"]): r["cosine"] for r in run((pa.scalar("source2"),), pa.Table.from_pylist(rows, schema)).to_pylist()}
+    want, got = found(rows), found([*rows, terms])
+    assert want and set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def test_keys_and_equal_texts_need_little_shuffle(spark):
     """Keys of records with ids of their own are exploded where the records are, and joins carry no texts; repeated ids
     still have each key once."""
