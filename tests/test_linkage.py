@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -95,6 +96,19 @@ def test_measures_of_long_texts(spark):
     assert got == [distance(a.encode(), b.encode()) for a, b in made] + [None]
 
 
+def test_edit_distance_steps_over_the_shorter_text():
+    """In either order a short text and a long one take alike long."""
+    rng = random.Random(2)
+    short, long = (bytes(rng.choice(b"abcdef") for _ in range(n)) for n in (60, 200_000))
+
+    def took(a, b):
+        began = time.process_time()
+        assert sim.edit_distance(a, b) == len(long) - len(short)
+        return time.process_time() - began
+
+    assert min(took(short, long) for _ in range(3)) < 5 * min(took(long, short) for _ in range(3))
+
+
 @pytest.mark.parametrize("floor", [0.1, 0.4])
 def test_retrieval_finds_all_pairs_above_the_floor(spark, floor, monkeypatch):
     """Common grams that join late change nothing: the same pairs as with a floor of 0, cut afterwards."""
