@@ -1,9 +1,11 @@
 """Small exact cases for what SQL can't check: text, similarity, contracts, folds, learning, files, streams."""
 
 import collections
+import functools
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -435,3 +437,33 @@ def test_unseen_grams_count_in_the_norm(spark):
     queries = queries.withColumn("name", F.lit("a b zzzz"))
     with_, without = (retrieval.top_k(queries, targets, retrieval.RetrievalConfig(unseen=u)).first().char_name_score for u in (True, False))
     assert 0 < with_ < without <= 1
+
+
+@pytest.mark.parametrize("made", [functools.partial(tx.grams, low=2, high=4), functools.partial(tx.word_grams, low=2, high=5), functools.partial(tx.word_grams, low=4, high=5), tx.word_pairs])
+def test_pieces_in_python_are_those_of_the_columns(spark, made, monkeypatch):
+    """Each text has as many distinct pieces, as often, and shares as many with each other text; in slices too."""
+    from weftlink.functions import pieces
+
+    texts = ["ab abc  ab a", "", "a", "abab ab", "été \U0001f600 ab abc", " lead ab", "aaaa aaaa", "ab abc  ab a"]
+    want = [collections.Counter(r.g) for r in spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, t string").coalesce(1).select(made(F.col("t")).alias("g")).collect()]
+    column, bag, _ = pieces.of_column(made)
+    assert bag is not pieces.listed
+    for batch in (pieces.BATCH, 3):
+        monkeypatch.setattr(pieces, "BATCH", batch)
+        codes, row, at, count = bag(pa.array(texts), np.arange(len(texts), dtype=np.int32))
+        got = [dict(zip(codes[at[row == i]].tolist(), count[row == i].tolist(), strict=True)) for i in range(len(texts))]
+        assert (np.diff(codes) > 0).all() and (np.diff(row) >= 0).all()
+        for a, x in zip(want, got, strict=True):
+            assert sorted(a.values()) == sorted(x.values())
+            assert [len(a.keys() & b.keys()) for b in want] == [len(x.keys() & y.keys()) for y in got]
+
+
+def test_texts_travel_packed():
+    """One packed table for each block, much smaller than its texts, and nothing of them lost."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(200)) for _ in range(40)]
+    t = pa.table({"candidate_source": ["source2"] * 40, "block": pa.array([i % 2 for i in range(40)], pa.int64()), "across": pa.array([3] * 40, pa.int64()), "n": pa.array([40] * 40, pa.int64()), "kind": pa.array([1] * 40, pa.int32()), "field": pa.array([-1] * 40, pa.int32()), "id": [f"S2-{i}" for i in range(40)], "same": pa.array(range(40), pa.int64()), "c0": texts})
+    rows = pa.Table.from_batches(list(retrieval._pack(["candidate_source"])(iter(t.to_batches(max_chunksize=7)))))
+    assert rows.column("block").to_pylist() == [0, 1] and sum(map(len, rows.column("packed").to_pylist())) < sum(map(len, texts)) / 3
+    back = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in rows.column("packed").to_pylist()])
+    assert sorted(zip(*back.to_pydict().values(), strict=True)) == sorted(zip(*t.select(["id", "same", "c0"]).to_pydict().values(), strict=True))
