@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import random
 import time
 
@@ -467,3 +468,22 @@ def test_texts_travel_packed():
     assert rows.column("block").to_pylist() == [0, 1] and sum(map(len, rows.column("packed").to_pylist())) < sum(map(len, texts)) / 3
     back = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in rows.column("packed").to_pylist()])
     assert sorted(zip(*back.to_pydict().values(), strict=True)) == sorted(zip(*t.select(["id", "same", "c0"]).to_pydict().values(), strict=True))
+
+
+def test_ratio_of_texts_with_shared_ends():
+    """As by the table of all cells, and texts that differ in the middle alone take no steps for their ends."""
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(1, len(b) + 1), lambda left, j, row=row, x=x: row[j - 1] + 1 if b[j - 1] == x else max(row[j], left), initial=0)][1:]
+        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("ab é\U0001f600") for _ in range(rng.randint(0, n)))
+    for _ in range(300):
+        ends, a, b = (text(6), text(6)), text(20), text(20)
+        assert sim.indel_ratio(ends[0] + a + ends[1], ends[0] + b + ends[1]) == plain(ends[0] + a + ends[1], ends[0] + b + ends[1])
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    began = time.process_time()
+    assert sim.indel_ratio(long + "xy" + long, long + "yz" + long) == 2 * (400_000 + 1) / 800_004
+    assert time.process_time() - began < 2
