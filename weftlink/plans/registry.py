@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from weftlink.functions import text as tx
 from weftlink.functions.text import normalize_sql
-from weftlink.operators import audit, blocking, evaluate, features, learning, retrieval, sampling, splits, submission
-from weftlink.plans.fixtures import CONFIG, SOURCE_THRESHOLDS, THRESHOLD, Fixture, fixture
+from weftlink.operators import audit, blocking, evaluate, features, learning, retrieval, rulepairs, sampling, splits, submission
+from weftlink.plans.fixtures import CONFIG, SOURCE_THRESHOLDS, THRESHOLD, Fixture, fixture, score_of
 from weftlink.plans.sql import PAIR, STEPS, fbeta, md5_low, norm, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,7 +381,10 @@ def pair_errors(x: Fixture) -> DataFrame:
 
 @query(sql("errors q", "SELECT error_type, candidate_source, country, count(*) AS error_count FROM errors LEFT JOIN q USING (source1_entity_id) GROUP BY ALL"))
 def error_counts(x: Fixture) -> DataFrame:
-    return evaluate.error_counts(pair_errors(x), x.queries())
+    found = x.unlisted()
+    if found is None:
+        return evaluate.error_counts(pair_errors(x), x.queries())
+    return rulepairs.error_counts(found, x.pairs(), score_of(features.block_strength()), THRESHOLD)
 
 
 @query(sql("per_entity q", f"SELECT country AS slice, {_SUMMARY} FROM per_entity JOIN q USING (source1_entity_id) GROUP BY ALL"))
