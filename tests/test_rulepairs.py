@@ -57,3 +57,25 @@ def test_registered_counts_list_no_pairs(spark, sf_dir, monkeypatch):
 def test_repeated_ids_take_the_plain_form(tables):
     q, t, _ = tables
     assert rulepairs.rule_pairs(q.union(q.limit(1)), t, CONFIG) is None and rulepairs.rule_pairs(q, t.union(t.limit(1)), CONFIG) is None
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85, {"source2": 0.82, "source3": 0.05}])
+@pytest.mark.parametrize("side", [3, 1024])
+def test_errors_meet_in_blocks(tables, monkeypatch, threshold, side):
+    q, t, truth = tables
+    found, scores = _plain(q, t)
+    monkeypatch.setattr(rulepairs, "SIDE", side)
+    want = _rows(evaluate.pair_errors(scores, found, truth, threshold).select(*blocking.PAIR, "error_type", "score"))
+    got = _rows(rulepairs.pair_errors(rulepairs.rule_pairs(q, t, CONFIG), truth, score_of(features.block_strength()), threshold))
+    assert got == want and len(want) > 90
+
+
+def test_pairs_of_equal_records_do_not_travel(spark, sf_dir, monkeypatch):
+    """No list of candidates is made or grouped; above the joins in which equal records meet nothing is dealt out again."""
+    from weftlink.plans import fixtures, registry
+
+    monkeypatch.setattr(blocking, "merge_evidence", None)
+    monkeypatch.setattr(fixtures, "rule_candidates", None)
+    plan = registry.QUERIES["pair_errors"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    before = plan.split("SortMergeJoin")[0]
+    assert plan.count("SortMergeJoin") >= 2 and not any(word in before for word in ("Exchange", "Aggregate", "Window"))

@@ -376,7 +376,10 @@ def tuned_source_thresholds(x: Fixture) -> DataFrame:
 
 @query(sql("errors", _sql_typed("SELECT * FROM errors", "", "score")))
 def pair_errors(x: Fixture) -> DataFrame:
-    return evaluate.pair_errors(x.scores(), x.candidates(), x.pairs(), THRESHOLD)
+    found = x.unlisted()
+    if found is None:
+        return evaluate.pair_errors(x.scores(), x.candidates(), x.pairs(), THRESHOLD)
+    return rulepairs.pair_errors(found, x.pairs(), score_of(features.block_strength()), THRESHOLD)
 
 
 @query(sql("errors q", "SELECT error_type, candidate_source, country, count(*) AS error_count FROM errors LEFT JOIN q USING (source1_entity_id) GROUP BY ALL"))
