@@ -79,3 +79,18 @@ def test_pairs_of_equal_records_do_not_travel(spark, sf_dir, monkeypatch):
     plan = registry.QUERIES["pair_errors"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     before = plan.split("SortMergeJoin")[0]
     assert plan.count("SortMergeJoin") >= 2 and not any(word in before for word in ("Exchange", "Aggregate", "Window"))
+
+
+def test_number_features_of_equal_records_are_made_where_they_meet(spark, monkeypatch):
+    """Only fuzzy candidates are attached; digit runs of equal names give what they give when attached."""
+    from weftlink.plans import fixtures, registry
+
+    rows = [("abcdefgh " * 6)[:48] + f" {['', 'at 7 or 12', f'at {i} 12 12', 'no. 12 of 7'][i % 4]} w{i % 9}" for i in range(60)]
+    docs = spark.createDataFrame([(i, text, "en" if i % 5 else None) for i, text in enumerate(rows)], "doc_id long, text string, lang string")
+    src = (1 + F.col("doc_id") % 3).cast("int")
+    x = fixtures.Fixture(docs.select(F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), src.alias("src"), F.left("text", F.lit(48)).alias("business_name"), F.expr("substr(text, 49)").alias("business_address"), F.col("lang").alias("country")))
+    want = _rows(registry._features(x, features.number_features(), brief=registry.tx.digit_runs))
+    monkeypatch.setattr(blocking, "merge_evidence", None)
+    monkeypatch.setattr(fixtures, "rule_candidates", None)
+    monkeypatch.setattr(rulepairs, "SIDE", 4)
+    assert _rows(registry.pair_features_numbers(x)) == want and len(want) > 300
